@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwood.llm import canonical, variants
+from tarnwood.llm import canonical, pieces, repeated, variants
 from tarnwood.operators import packed
 from tarnwood.sources.tables import table
 
@@ -16,6 +16,41 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("file"), "ref_code").distinct()
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, source): the venue of each paper, trimmed and in lower case."""
+    return table(spark, sf_dir, "papers").where("venue is not null").select("file", F.lower(F.trim(F.regexp_replace("venue", r"(?U)^\s+|\s+$", ""))).alias("source")).distinct()
+
+
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated.excessive_occurrences(table(spark, sf_dir, "chunks").select("rowid", "file", "text"), _sources(spark, sf_dir), "rowid", "text", "file")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each occurrence in ``chunks`` of a line that its venue prints in very many of its papers."""
+    return _occurrences(spark, sf_dir).select("rowid", "line_no").distinct()
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment without the lines of its venue."""
+    return repeated.remove_lines(table(spark, sf_dir, "chunks").select("rowid", "text"), _occurrences(spark, sf_dir), "rowid", "text").select("rowid", "clean")
+
+
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The removed lines, each with one printing of it and its counts."""
+    chunks = table(spark, sf_dir, "chunks").select("rowid", "text")
+    return repeated.report(chunks, _occurrences(spark, sf_dir), "rowid", "text").select("example", "files", "of_files", "occurrences")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all segments over 1,920 characters."""
+    return pieces.split_long(table(spark, sf_dir, "chunks").select("rowid", "text"), "rowid", "text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments that were cut: those with more than 1,920 characters."""
+    return p5_pieces(spark, sf_dir).where("piece_no = 1").select("rowid")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of spellings of one person (``papers.authors``) or one organisation (``paper_geo.institution``)."""
     authors = packed.unpack(table(spark, sf_dir, "papers"), "authors", ["file"], out="author")
@@ -24,5 +59,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select(F.lit("author").alias("kind"), "*").unionByName(organisations.select(F.lit("institution").alias("kind"), "*"))
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p4_lines": p4_lines, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found}
+SQL: dict[str, str] = {
+    "p4_found": r"""
+        with src as (select distinct file, lower(trim(regexp_replace(venue, '^\s+|\s+$', '', 'g'))) as source from papers where venue is not null),
+        doc as (select c.rowid as id, c.file, s.source, c.text from chunks c join src s using (file)),
+        total as (select source, count(distinct file) as n from doc group by 1),
+        split as (select id, file, source, string_split(text, chr(10)) as ls from doc where text is not null),
+        line as (select id, file, source, cast(i as int) as line_no, trim(regexp_replace(regexp_replace(lower(ls[i]), '[0-9]+', '0', 'g'), '\s+', ' ', 'g')) as l
+                 from split, unnest(generate_series(1, len(ls))) as u(i)),
+        bad as (select source, l from line join total using (source) where length(l) >= 20 group by source, l, n
+                having count(distinct file) >= 3 and count(distinct file) >= 0.25 * n)
+        select distinct id as rowid, line_no from line join bad using (source, l)""",
+    "p5_found": "select distinct rowid from (select rowid, text from chunks) where length(text) > 1920",
+}
