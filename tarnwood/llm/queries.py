@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwood.llm import canonical, pieces, repeated, variants
+from tarnwood.llm import bpe, canonical, pieces, repeated, variants
 from tarnwood.operators import packed
 from tarnwood.sources.tables import table
 
@@ -59,7 +59,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select(F.lit("author").alias("kind"), "*").unionByName(organisations.select(F.lit("institution").alias("kind"), "*"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p4_lines": p4_lines, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document in the vocabulary byte_bpe_50k."""
+    return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p4_lines": p4_lines, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
 SQL: dict[str, str] = {
     "p4_found": r"""
         with src as (select distinct file, lower(trim(regexp_replace(venue, '^\s+|\s+$', '', 'g'))) as source from papers where venue is not null),
