@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwood.llm import bpe, canonical, pieces, repeated, variants
+from tarnwood.llm import bpe, canonical, mixing, pieces, reading, repeated, variants
 from tarnwood.operators import packed
 from tarnwood.sources.tables import table
 
@@ -64,7 +64,43 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p4_lines": p4_lines, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", bpe.token_count(F.col("text")).alias("tokens"))
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "tokens")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix with their number of copies."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source of each mix."""
+    return _mix(spark, sf_dir)[1]
+
+
+#: Characters that separate words when texts are counted for p10_found.
+_BLANK = r"[ \t\n\x0B\f\r]+"
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of every English document with at least 60 words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scale = reading.fit_on(docs, table(spark, sf_dir, "level_labels"), "doc_id", "text", "level")
+    long = docs.where(F.col("lang") == "en").where(F.size(F.filter(F.split("text", _BLANK), lambda w: w != "")) >= 60)
+    # a text of digits alone has words but no letters: it is read by the easiest reader
+    return reading.read_levels(long, "text", scale).select("doc_id", F.coalesce("reading.level", F.lit(1)).alias("level"))
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How demanding each source is: documents by level and the mean of the median grades."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    scale = reading.fit_on(docs, table(spark, sf_dir, "level_labels"), "doc_id", "text", "level")
+    got = reading.read_levels(docs, "text", scale).select("source", "reading.*")
+    return got.groupBy("source", "level").agg(F.count("*").alias("docs"), F.round(F.avg("grade"), 3).alias("grade"), F.sum("words").alias("words"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p4_lines": p4_lines, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_profile": p10_profile}
 SQL: dict[str, str] = {
     "p4_found": r"""
         with src as (select distinct file, lower(trim(regexp_replace(venue, '^\s+|\s+$', '', 'g'))) as source from papers where venue is not null),
