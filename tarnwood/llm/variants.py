@@ -16,6 +16,7 @@ Defined results: nulls, blanks and values that name nobody link to nothing; a sp
 to exactly one entity; equal spellings are one spelling, however often they occur; an empty
 table has no links.  All work is on distinct spellings and distinct words by equality joins on
 deletion neighbourhoods; rows of a hot name are counted before any join and never gathered.
+Steps that are read more than once are cut with checkpoint(), so plans stay small.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql.window import Window
 
 from tarnwood.llm.canonical import fold
 from tarnwood.llm.edits import deletions_of, distance, distance_of
+from tarnwood.session import cut
 
 # Values that name nobody.
 NOBODY = frozenset(["", "null", "none", "n/a", "na", "nan", "unknown", "-", "--", "?", "??", "???", "anonymous", "various", "not given", "none given", "n.a.", "nil", "."])
@@ -131,10 +133,12 @@ def link_organisations(df: DataFrame, name: str, context: str | None = None) ->
     """(spelling, entity) of every spelling in ``df[name]`` that names somebody."""
     spelled = df.select(squeeze(F.col(name)).alias("spelling"), (squeeze(F.lower(F.col(context))) if context else F.lit(None).cast("string")).alias("context"))
     spelled = spelled.where(names_somebody(F.col("spelling"))).groupBy("spelling", "context").agg(F.count("*").alias("n"))
-    forms = spelled.groupBy("spelling").agg(F.sum("n").alias("n")).withColumn("words", _organisation_words("spelling"))
+    spark = df.sparkSession
+    spelled = cut(spelled, spark)
+    forms = cut(spelled.groupBy("spelling").agg(F.sum("n").alias("n")).withColumn("words", _organisation_words("spelling")), spark)
     words = forms.select("spelling", "n", F.explode("words").alias("word"))
     # acronyms: three letters or more that are the initials of a frequent phrase of the data
-    stats = words.groupBy("word").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
+    stats = cut(words.groupBy("word").agg(F.count("*").alias("forms"), F.sum("n").alias("n")), spark)
     # how often each word stands beside each context word
     beside = (
         words.select("spelling", "word").join(spelled.where("context is not null"), "spelling")
@@ -146,11 +150,12 @@ def link_organisations(df: DataFrame, name: str, context: str | None = None) ->
     typo = (F.col("o_forms") >= F.when(F.col("edits") == 1, 2).otherwise(4) * F.col("forms")) | ((F.col("forms") == 1) & (F.col("edits") == 1) & (F.struct("o_n", "other") > F.struct("n", "word")))
     score = F.log(F.col("o_forms").cast("double")) - 3 * F.col("edits") + 4 * F.log1p(F.col("together").cast("double"))
     best = pairs.where(typo | (F.col("together") > 0)).groupBy("word").agg(F.max_by("other", F.struct(score.alias("s"), "o_n", "other")).alias("canon"))
+    best = cut(best, spark)
     # a second step follows a word attributed to a word that is itself a misspelling
     again = best.select(F.col("word").alias("canon"), F.col("canon").alias("next"))
     best = best.join(again, "canon", "left").select("word", F.when(F.col("next") == F.col("word"), F.col("word")).otherwise(F.coalesce("next", "canon")).alias("canon"))
     read = words.join(best, "word", "left").select("spelling", F.coalesce("canon", "word").alias("canon"))
-    keyed = read.groupBy("spelling").agg(F.array_sort(F.collect_set("canon")).alias("bag"))
+    keyed = cut(read.groupBy("spelling").agg(F.array_sort(F.collect_set("canon")).alias("bag")), spark)
     # an acronym of three letters or more stands for the phrase with these initials: the
     # phrase is read from spellings in full, in their own order, and must be widespread
     ordered = forms.select("spelling", F.lower("spelling").alias("low")).select("spelling", F.regexp_extract_all("low", F.lit(r"(?U)\p{L}{3,}[\p{L}'.]*"), 0).alias("ws"))
@@ -197,6 +202,9 @@ def link_people(df: DataFrame, name: str) -> DataFrame:
     """(spelling, entity) of every spelling in ``df[name]`` that names somebody."""
     spelled = df.select(squeeze(F.col(name)).alias("spelling")).where(names_somebody(F.col("spelling"))).groupBy("spelling").agg(F.count("*").alias("n"))
     read = spelled.withColumn("r", _read_person("spelling")).select("spelling", "n", "r.*")
+    spark = df.sparkSession
+    read = cut(read, spark)
+    spelled = read.select("spelling", "n")
     # where a word stands in the forms that show it: evidence for the forms that do not
     shown = read.where("sure")
     place = (
@@ -220,10 +228,10 @@ def link_people(df: DataFrame, name: str) -> DataFrame:
     # the given names a spelling may mean: itself, or those a nickname stands for
     nick = F.create_map(*[x for k, v in _table(NICKNAMES).items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
     meant = F.when(F.length("first") <= 1, F.array("first")).otherwise(F.concat(F.array("first"), F.coalesce(nick[F.col("first")], F.array().cast("array<string>"))))
-    read = read.select("*", F.explode(meant).alias("means"))
+    read = cut(read.select("*", F.explode(meant).alias("means")), spark)
 
     # families attributed to more widespread ones that have a compatible person
-    stats = read.groupBy("family").agg(F.countDistinct("spelling").alias("forms"), F.sum("n").alias("n"))
+    stats = cut(read.groupBy("family").agg(F.countDistinct("spelling").alias("forms"), F.sum("n").alias("n")), spark)
     pairs = near_words(stats.withColumnRenamed("family", "word")).withColumnsRenamed({"word": "family", "other": "o_family"})
     pairs = pairs.join(stats, "family").join(stats.withColumnsRenamed({"family": "o_family", "forms": "o_forms", "n": "o_n"}), "o_family")
     pairs = pairs.where((F.col("o_forms") >= F.when(F.col("edits") == 1, 1).otherwise(6) * F.col("forms") * F.col("forms")) & (F.struct("o_forms", "o_n", "o_family") > F.struct("forms", "n", "family")))
@@ -236,6 +244,7 @@ def link_people(df: DataFrame, name: str) -> DataFrame:
     score = F.log(F.col("o_forms").cast("double")) - 3 * F.col("edits") + F.when(F.col("means") == F.col("o_means"), 2).otherwise(0)
     moved = fits.where(compatible).groupBy("spelling").agg(F.max_by("o_family", F.struct(score.alias("s"), "o_prior", "o_family")).alias("moved"))
     read = read.join(moved, "spelling", "left").withColumn("family", F.coalesce("moved", "family")).drop("moved")
+    read = cut(read, spark)
 
     # within a family: full given names are people, others go to the likeliest of them
     full = read.where(F.length("means") > 1).groupBy("family", "means").agg(F.sum("n").alias("prior"), F.max((F.col("means") == F.col("first")).cast("int")).alias("written"))
@@ -245,6 +254,7 @@ def link_people(df: DataFrame, name: str) -> DataFrame:
     formal = (F.col("person") != F.col("first")).cast("int")
     named = exact.groupBy("spelling").agg(F.max_by("person", F.struct(formal.alias("f"), "prior", "person")).alias("person"))
     byname = read.where(F.length("means") > 1).select("spelling", "family").distinct().join(named, "spelling")
+    byname = cut(byname, spark)
     # priors of the people after nicknames are attributed
     people = byname.join(spelled, "spelling").groupBy("family", "person").agg(F.sum("n").alias("prior")).withColumn("i", F.substring("person", 1, 1))
     short = read.where(F.length("means") == 1).withColumn("i", F.col("means"))
@@ -256,5 +266,6 @@ def link_people(df: DataFrame, name: str) -> DataFrame:
 
 def linked_pairs(links: DataFrame) -> DataFrame:
     """(name_a, name_b) of every unordered pair of different spellings of one entity."""
+    links = cut(links, links.sparkSession)
     a, b = links.withColumnRenamed("spelling", "name_a"), links.withColumnRenamed("spelling", "name_b")
     return a.join(b, "entity").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")
