@@ -17,7 +17,8 @@ Defined results: one row per input row in which a value or code holds more than
 ``none`` where neither means an entry; repeated rows and repeated keys are mapped alike and
 kept; empty tables give empty results; a null in any column counts as blank.  Texts of any
 length are read whole.  Rows of one hot value are never gathered: matching runs on distinct
-values, and only (value, result) pairs are joined back.
+values, and only (value, result) pairs are joined back.  Tables read more than once are cut
+with checkpoint(), so plans stay small.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tarnwood.llm.edits import deletions_of, distance_of
+from tarnwood.session import cut
 
 # Names of countries in their own or other languages, as "name: code".
 OWN_NAMES = """
@@ -93,12 +95,14 @@ def map_to_canonical(df: DataFrame, key: str, value: str, code: str, ref: DataFr
     blank = lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")) == ""
     rows = rows.where(~blank(F.col("value")) | ~blank(F.col("c")))
     codes = ref.select(F.col("iso3").alias("code"), F.explode(F.array_distinct(F.array("iso3", "iso2"))).alias("c")).where("c is not null")
+    spark = df.sparkSession
     rows = rows.join(codes.withColumnRenamed("code", "by_code"), "c", "left")
 
     # every distinct value once, with how often each valid code stands beside it
-    counted = rows.groupBy("value", "by_code").agg(F.count("*").alias("n")).where("value is not null")
+    counted = cut(rows.groupBy("value", "by_code").agg(F.count("*").alias("n")).where("value is not null"), spark)
     per_value = counted.groupBy("value").agg(F.sum("n").alias("n"))
     parts = per_value.select("value", F.posexplode(_parts("value")).alias("i", "p")).select("value", "i", "p.part", "p.tokens", "p.joined")
+    parts = cut(parts, spark)
 
     names = reference_names(ref)
     sole = parts.groupBy("value").agg(F.count("*").alias("parts"), F.first("part").alias("part"), F.first("tokens").alias("tokens"), F.first("joined").alias("joined")).where("parts = 1")
@@ -110,11 +114,13 @@ def map_to_canonical(df: DataFrame, key: str, value: str, code: str, ref: DataFr
         .select(F.col("by_code").alias("code"), "part", "tokens", "joined")
     )
     names = names.unionByName(learned.join(names, "part", "left_anti")).withColumn("name_id", F.xxhash64("code", "part"))
+    names = cut(names, spark)
 
     # vocabulary: name tokens with idf, and each name as one word
     total = names.agg(F.countDistinct("code").alias("all"))
     words = names.select("code", "name_id", F.explode(F.array_distinct("tokens")).alias("word"))
     idf = words.groupBy("word").agg(F.countDistinct("code").alias("df")).join(total).select("word", F.log1p(F.col("all") / F.col("df")).alias("idf"))
+    idf = cut(idf, spark)
     norm = words.join(idf, "word").groupBy("name_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
 
     def near(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def map_to_canonical(df: DataFrame, key: str, value: str, code: str, ref: DataFr
         return pairs.where((F.col("edits") <= _allowed(F.length("word"))) | extra).select("token", "word", (1 - F.col("edits") / F.greatest(F.length("token"), F.length("word"))).alias("sim"))
 
     tokens = parts.select("value", "i", F.explode(F.array_distinct("tokens")).alias("token"))
-    pairs = near(tokens.select("token").distinct(), idf.select("word")).join(idf, "word")
+    pairs = cut(near(tokens.select("token").distinct(), idf.select("word")).join(idf, "word"), spark)
     rare = F.log1p(F.col("all").cast("double"))
     weight = tokens.join(pairs.groupBy("token").agg(F.max_by("idf", F.struct("sim", "idf")).alias("w")), "token", "left").join(total).withColumn("w", F.coalesce("w", rare)).drop("all")
     length = weight.groupBy("value", "i").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
@@ -141,6 +147,7 @@ def map_to_canonical(df: DataFrame, key: str, value: str, code: str, ref: DataFr
     stated = parts.select("value", F.upper("part").alias("c")).where(code_len.between(2, 3)).join(codes, "c").select("value", "code", F.lit(1.0).alias("score"))
 
     found = soft.unionByName(whole).unionByName(stated).groupBy("value", "code").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    found = cut(found, spark)
     prior = found.where("score > 0.999").join(per_value, "value").groupBy("code").agg(F.sum("n").alias("prior"))
     ranked = (
         found.join(prior, "code", "left")
