@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwood.llm import bpe, canonical, mixing, pieces, reading, repeated, variants
+from tarnwood.llm import bpe, canonical, mixing, pieces, reading, repeated, scans, variants
 from tarnwood.operators import packed
 from tarnwood.sources.tables import table
 
@@ -16,6 +16,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("file"), "ref_code").distinct()
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan noise of every line of ``chunks``."""
+    return scans.find_noise(table(spark, sf_dir, "chunks").select("rowid", "file", "page", "text", "title"), "rowid", "text", "file", "page", "title").distinct()
+
+
+def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment as continuous, readable paragraphs."""
+    return scans.repair(table(spark, sf_dir, "chunks").select("rowid", "file", "page", "text", "title"), "rowid", "text", "file", "page", "title")
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, source): the venue of each paper, trimmed and in lower case."""
     return table(spark, sf_dir, "papers").where("venue is not null").select("file", F.lower(F.trim(F.regexp_replace("venue", r"(?U)^\s+|\s+$", ""))).alias("source")).distinct()
@@ -100,7 +110,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("source", "level").agg(F.count("*").alias("docs"), F.round(F.avg("grade"), 3).alias("grade"), F.sum("words").alias("words"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p4_lines": p4_lines, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p4_found": p4_found, "p4_clean": p4_clean, "p4_lines": p4_lines, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_profile": p10_profile}
 SQL: dict[str, str] = {
     "p4_found": r"""
         with src as (select distinct file, lower(trim(regexp_replace(venue, '^\s+|\s+$', '', 'g'))) as source from papers where venue is not null),
