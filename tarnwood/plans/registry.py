@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwood.plans import repair
+from tarnwood.plans import reference, reference_sql, repair
 
-QUERIES = {**repair.QUERIES}
-SQL: dict[str, str] = {**repair.SQL}
+QUERIES = {**reference.QUERIES, **repair.QUERIES}
+SQL: dict[str, str] = {**reference_sql.SQL, **repair.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p2_found"](spark, sf_dir)
+    """Hybrid retrieval: keyword and vector routes, fused, scoped and cut."""
+    return QUERIES["hybrid_search"](spark, sf_dir)
