@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwood.functions import text as tx
+from tarnwood.session import cut
 
 K_ROUTE, K_FINAL, RRF_K = 30, 8, 60
 
@@ -53,6 +54,7 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "rowid", co
     hits = occurrences.join(parts, "term").select("phrase", "m", "key", "dl", (F.col("pos") - F.col("k")).alias("at"), "k")
     whole = hits.groupBy("phrase", "m", "key", "dl", "at").agg(F.count("*").alias("n")).where("n = m")
     tf = whole.groupBy("phrase", "key", "dl").agg(F.count("*").alias("f"))
+    tf = cut(tf, chunks.sparkSession)  # read for the frequencies and for the scores
     df = tf.groupBy("phrase").agg(F.count("*").alias("n"))
     weight = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     idf = df.join(F.broadcast(size)).select("phrase", weight.alias("idf"), "avgdl")
