@@ -156,6 +156,8 @@ def map_to_canonical(df: DataFrame, key: str, value: str, code: str, ref: DataFr
     )
     best = F.element_at("found", 1)
     agreed = F.exists("found", lambda x: (x["code"] == F.col("by_code")) & (x["score"] >= best["score"] - 0.12))
+    # part of a name that several entries share means none of them
+    vague = (best["score"] < 0.75) & (F.size("found") > 1) & (F.try_element_at("found", F.lit(2))["score"] == best["score"])
     # an exact name is never overruled by the code beside it
-    chosen = F.when(F.col("found").isNull(), F.col("by_code")).when((best["score"] < 0.999) & agreed, F.col("by_code")).otherwise(best["code"])
+    chosen = F.when(F.col("found").isNull() | vague, F.col("by_code")).when((best["score"] < 0.999) & agreed, F.col("by_code")).otherwise(best["code"])
     return rows.join(ranked, "value", "left").select("key", F.coalesce(chosen, F.lit("none")).alias("ref_code"), F.round(best["score"], 4).alias("score"), "by_code")

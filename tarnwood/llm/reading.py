@@ -40,7 +40,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _SENTENCE = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s+[\"'“‘(\[]*[^\W\d_a-zß-ÿ]|\s*$)|[。！？]|\n\s*\n")
 _NUCLEUS = re.compile(r"[aeiouyàâäåæèéêëìíîïòóôöøùúûüœ]+")
 # Vowel pairs that are two nuclei, and endings that are none.
-_SPLIT = re.compile(r"i[ao](?!u)|eo|ua(?!r)|[aeiou]ing$|uous$|[aeiou]ism$|ie[nt](?=c|t|$)|iu|yo|[^l]ia$")
+_SPLIT = re.compile(r"(?<![tcsxg])i[ao](?!u)|eo|ua(?!r)|[aeiou]ing$|uous$|[aeiou]ism$|ie[nt](?=c|t|$)|iu|yo|[^l]ia$")
 _SILENT = re.compile(r"[^aeiouyl]es?$|[^td]ed$|[^aeiouy]eful|eless|ely$|ement|[aeiou]le$")
 
 
