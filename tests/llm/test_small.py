@@ -81,8 +81,8 @@ def test_soft_signs_and_edges():
 
 def test_repaired_text():
     facts = scans.Facts("Flexible stator with long electrodes", "x", 100, [])
-    text = "the flexible stator was mea-\n103\nsured with a multi-\nlayer dielecfric. The\nelectrode pitch\n\nthe thrust"
-    assert scans.repaired(text, facts, "3", lexicon()) == "the flexible stator was measured with a multi-layer dielectric. The electrode pitch\n\nthe thrust"
+    text = "the flexible stator was mea-\n103\nsured with a multi-\nlayer dielecfric. The\n\nFLEXIBLE STATOR WITH LONG ELECTRODES\n\nelectrode pitch.\n\nThe thrust"
+    assert scans.repaired(text, facts, "3", lexicon()) == "the flexible stator was measured with a multi-layer dielectric. The electrode pitch.\n\nThe thrust"
     assert scans.repaired("", facts, None, lexicon()) == ""
 
 
@@ -93,6 +93,13 @@ def chunk_rows(spark):
     return spark.createDataFrame(rows, "rowid long, file string, page string, text string, title string, offset string")
 
 
+def test_context_ranks_candidates_that_look_alike():
+    counts = {"if": 900, "it": 1000, "fits": 50}
+    plain, informed = scans.Lexicon(counts), scans.Lexicon(counts, {("even", "if"): 40, ("if", "the"): 60, ("it", "follows"): 70})
+    assert plain.best("lf", "even", "the") == "it" and informed.best("lf", "even", "the") == "if" and informed.best("lf", "", "follows") == "it"
+    assert scans.ambiguous(counts | {"lf": 3}) == {"if", "it"}
+
+
 def test_scan_rows(spark):
     df = chunk_rows(spark)
     got = scans.find_noise(df, "rowid", "text", "file", "page", "title").distinct().collect()
