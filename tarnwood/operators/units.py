@@ -166,7 +166,10 @@ _CUE = re.compile(rf"(?i)(?:^|\b)(?:(?:values?|readings?|data|numbers?)\s+(?:are
 @lru_cache(maxsize=65536)
 def note_unit(note: str | None) -> str | None:
     """The unit that the words of a note state for the value itself.  A quantity mentioned
-    beside it ("gap 40 um", "target was 3 N") states none."""
+    beside it ("gap 40 um", "target was 3 N") states none; a unit in brackets states itself."""
+    for m in re.finditer(r"[\[(]([^\])]+)[\])]", note or ""):
+        if parse_unit(m[1]) is not None:
+            return m[1]
     for part in re.split(r"[,;](?!\d)", note or ""):
         if (m := _CUE.search(part.strip())) and parse_unit(m["unit"]) is not None:
             return m["unit"]

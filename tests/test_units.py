@@ -10,7 +10,7 @@ CASES = [
     ("speed", 1.0, "in/s", None, 25.4), ("speed", 60.0, "m/min", None, 1000.0), ("thrust", 5.0, "10^-3 N", None, 0.005), ("thrust", 5.0, "×10⁻³ N", None, 0.005), ("thrust", 5.0, "x1e-3 N", None, 0.005),
     ("thrust", 5.0, "m N", None, 0.005), ("thrust", 5.0, "n", None, 5.0), ("thrust", 5.0, "milli-newton", None, 0.005), ("THRUST [mN]", 5.0, None, None, 0.005), ("thrust in kN", 5.0, "-", None, 5000.0),
     ("thrust, gf", 1000.0, "", None, 9.80665), ("holding force", 2.0, None, "values in mN", 0.002), ("thrust", 2.0, None, "two-phase drive, in mN", 0.002), ("thrust", 2.0, None, "reported 2 mN, gap 40 um", 0.002),
-    ("thrust", 2.0, "N", "values in mN", 2.0), ("efficiency", 0.4, "ratio", None, 40.0), ("efficiency", 400.0, "‰", None, 40.0), ("Efficiency (%)", 40.0, None, None, 40.0), ("shear stress", 1.0, "psi", None, 6.894757293168361),
+    ("thrust", 2.0, None, "[mN] gap 40 um", 0.002), ("thrust", 2.0, "N", "values in mN", 2.0), ("efficiency", 0.4, "ratio", None, 40.0), ("efficiency", 400.0, "‰", None, 40.0), ("Efficiency (%)", 40.0, None, None, 40.0), ("shear stress", 1.0, "psi", None, 6.894757293168361),
     ("normal pressure", 1.0, "bar", None, 100.0), ("thrust density", 1.0, "N per square cm", None, 1.0), ("thrust density", 1.0, "kilonewton per square metre", None, 0.1), ("normal pressure", 1.0, "10^3 Pa", None, 1.0),
 ]
 NONE = [
