@@ -151,9 +151,10 @@ def link_organisations(df: DataFrame, name: str, context: str | None = None) ->
     score = F.log(F.col("o_forms").cast("double")) - 3 * F.col("edits") + 4 * F.log1p(F.col("together").cast("double"))
     best = pairs.where(typo | (F.col("together") > 0)).groupBy("word").agg(F.max_by("other", F.struct(score.alias("s"), "o_n", "other")).alias("canon"))
     best = cut(best, spark)
-    # a second step follows a word attributed to a word that is itself a misspelling
+    # a second step follows a word attributed to a word that is itself a misspelling; two words
+    # attributed to each other stand for one, whichever it is
     again = best.select(F.col("word").alias("canon"), F.col("canon").alias("next"))
-    best = best.join(again, "canon", "left").select("word", F.when(F.col("next") == F.col("word"), F.col("word")).otherwise(F.coalesce("next", "canon")).alias("canon"))
+    best = best.join(again, "canon", "left").select("word", F.when(F.col("next") == F.col("word"), F.least("word", "canon")).otherwise(F.coalesce("next", "canon")).alias("canon"))
     read = words.join(best, "word", "left").select("spelling", F.coalesce("canon", "word").alias("canon"))
     keyed = cut(read.groupBy("spelling").agg(F.array_sort(F.collect_set("canon")).alias("bag")), spark)
     # an acronym of three letters or more stands for the phrase with these initials: the
