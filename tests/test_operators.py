@@ -173,3 +173,49 @@ def test_incremental_upsert(spark, tmp_path):
     spark.createDataFrame([("k", 2, 2)], a.schema).coalesce(1).write.mode("append").parquet(src)
     run()
     assert sorted(map(tuple, spark.read.parquet(f"{target}/v=1").collect())) == [("k", 2, 2), ("l", 1, 1)]
+
+
+def test_files_upserts_and_evolution(spark, tmp_path):
+    from tarnwood.sources import tables
+
+    files = spark.createDataFrame([("b/x.pdf", "x.pdf"), ("a/x.pdf", "x.pdf"), ("b/y.pdf", "y.pdf")], "path string, name string")
+    assert {r["path"] for r in ingest.newest_files(files).collect()} == {"a/x.pdf", "b/y.pdf"}
+    disk, have = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "file string"), spark.createDataFrame([("b",)], "file string")
+    assert sorted(str(r["file"]) for r in ingest.pending(disk, have).collect()) == ["None", "a"]
+    assert sorted(str(r["file"]) for r in ingest.pending(disk, have, have).collect()) == ["None", "a", "b"]
+    old = spark.createDataFrame([(1, "u"), (2, None)], "k int, v string")
+    assert sorted(map(tuple, ingest.update_column(old, spark.createDataFrame([(2, "w"), (9, "z")], old.schema), "k", "v").collect())) == [(1, "u"), (2, "w")]
+    assert tables.with_columns(old, v=F.lit("x"), w=F.lit(0)).columns == ["k", "v", "w"]
+    assert tables.table_or_none(spark, str(tmp_path), "absent") is None
+    old.write.parquet(str(tmp_path / "here.parquet"))
+    assert tables.table_or_none(spark, str(tmp_path), "here").count() == 2
+
+
+def test_replies_and_vectors(spark):
+    df = spark.createDataFrame([(1, 'x [{"k": 1}, {"k": null}] y'), (2, "{\"k\": 3}"), (3, "nothing"), (4, None), (5, "[broken")], "id int, reply string")
+    assert sorted(map(str, [tuple(r) for r in ingest.reply_rows(df, "id", "reply", "k bigint").collect()])) == ["(1, 1)", "(1, None)", "(2, 3)"]
+    c = spark.createDataFrame([(1,), (2,), (3,)], "rowid long")
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0])], "rowid long, vector array<float>")
+    assert {r["rowid"]: r["reused"] for r in ingest.reuse_vectors(c, v).collect()} == {1: False, 2: True, 3: False}
+    unit = v.select(retrieval.normalised(F.col("vector")).alias("n")).collect()
+    assert [r["n"] for r in unit] == [[0.0, 0.0], [0.0, 1.0]]
+
+
+def test_labels_and_gain(spark):
+    b = spark.createDataFrame([("A", 9, 0.0, 0.0), ("B", 8, 50.0, 50.0), ("C", 7, 500.0, 0.0)], "iso3 string, papers long, x double, y double")
+    assert [r["iso3"] for r in geo.labels(b).orderBy(F.desc("papers")).collect()] == ["A", "C"]
+    m = spark.createDataFrame([("keyword", 0.2, 0.5, 0.3), ("vector", 0.4, 0.1, 0.2), ("hybrid", 0.5, 0.4, 0.4)], "mode string, recall double, mrr double, ndcg double")
+    assert tuple(evaluate.gain(m).first()) == (0.1, -0.1, 0.1)
+
+
+def test_empty_tables(spark, data):
+    """Every operator that reads papers, chunks or points gives an empty or zero result on empty tables."""
+    from tarnwood.sources.tables import table
+
+    papers, chunks, geo_, bench = (table(spark, data, t).limit(0) for t in ("papers", "chunks", "paper_geo", "benchmark"))
+    q = spark.createDataFrame([(1, "film motor", None)], "query_id long, query string, vector array<float>")
+    v = spark.createDataFrame([], "rowid long, vector array<float>")
+    own = retrieval.latest(papers)
+    assert corpus.stats(own, chunks, None).first()["papers"] == 0
+    for df in (corpus.authors(own), corpus.institutions(own, geo_), corpus.countries(own, geo_), corpus.timeline(own), corpus.paper(own, chunks), points.metric_stats(bench), retrieval.keyword_search(chunks, q), retrieval.search(chunks, own, v, q), ingest.first_chunks(chunks), ingest.candidate_segments(chunks, own)):
+        assert df.count() == 0
