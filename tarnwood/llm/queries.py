@@ -111,16 +111,22 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p4_found": p4_found, "p4_clean": p4_clean, "p4_lines": p4_lines, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_profile": p10_profile}
+#: CTEs of the excessive lines of each source.
+_BAD = r"""with src as (select distinct file, lower(trim(regexp_replace(venue, '^\s+|\s+$', '', 'g'))) as source from papers where venue is not null),
+    doc as (select c.rowid as id, c.file, s.source, c.text from chunks c join src s using (file)),
+    total as (select source, count(distinct file) as n from doc group by 1),
+    split as (select id, file, source, string_split(text, chr(10)) as ls from doc where text is not null),
+    line as (select id, file, source, cast(i as int) as line_no, trim(regexp_replace(regexp_replace(lower(ls[i]), '[0-9]+', '0', 'g'), '\s+', ' ', 'g')) as l
+             from split, unnest(generate_series(1, len(ls))) as u(i)),
+    bad as (select source, l from line join total using (source) where length(l) >= 20 group by source, l, n
+            having count(distinct file) >= 3 and count(distinct file) >= 0.25 * n)"""
+
 SQL: dict[str, str] = {
-    "p4_found": r"""
-        with src as (select distinct file, lower(trim(regexp_replace(venue, '^\s+|\s+$', '', 'g'))) as source from papers where venue is not null),
-        doc as (select c.rowid as id, c.file, s.source, c.text from chunks c join src s using (file)),
-        total as (select source, count(distinct file) as n from doc group by 1),
-        split as (select id, file, source, string_split(text, chr(10)) as ls from doc where text is not null),
-        line as (select id, file, source, cast(i as int) as line_no, trim(regexp_replace(regexp_replace(lower(ls[i]), '[0-9]+', '0', 'g'), '\s+', ' ', 'g')) as l
-                 from split, unnest(generate_series(1, len(ls))) as u(i)),
-        bad as (select source, l from line join total using (source) where length(l) >= 20 group by source, l, n
-                having count(distinct file) >= 3 and count(distinct file) >= 0.25 * n)
-        select distinct id as rowid, line_no from line join bad using (source, l)""",
+    "p4_found": f"{_BAD} select distinct id as rowid, line_no from line join bad using (source, l)",
+    "p4_clean": f"""{_BAD}, drops as (select id, list(distinct line_no) as ns from line join bad using (source, l) group by id)
+        select c.rowid, case when ns is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(ns, i)), chr(10)) end as clean from chunks c left join drops d on d.id = c.rowid""",
+    "p4_lines": f"""{_BAD}, occ as (select distinct id, line_no, source, l from line join bad using (source, l)), files as (select source, l, count(distinct file) as files from line join bad using (source, l) group by all),
+        firsts as (select source, l, count(*) as occurrences, min({{'i': id, 'n': line_no}}) as at0 from occ group by all)
+        select string_split(text, chr(10))[at0.n] as example, files, n as of_files, occurrences from firsts join files using (source, l) join total using (source) join chunks c on c.rowid = at0.i""",
     "p5_found": "select distinct rowid from (select rowid, text from chunks) where length(text) > 1920",
 }
