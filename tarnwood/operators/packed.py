@@ -72,12 +72,19 @@ def scan(text: str) -> list[tuple[str, str, bool]]:
             buf.append(s[m.start() : m.start() + end + 1])
             at = m.start() + end + 1
         elif c in STRONG or c == WEAK:
-            out.append((before, "".join(buf), quoted))
+            out += _ended(before, buf, quoted)
             buf, quoted, before = [], False, c
         else:
             buf.append(c)
-    out.append((before, "".join(buf), quoted))
-    return out
+    return out + _ended(before, buf, quoted)
+
+
+def _ended(before: str, buf: list[str], quoted: bool) -> list[tuple[str, str, bool]]:
+    """The value in ``buf``; words behind a closing quote that go on with the list are its own piece."""
+    tail = "".join(buf[1:]).strip() if quoted else ""
+    if tail and (_WORDS.match(tail + " ") or UNNAMED.search(tail)):
+        return [(before, buf[0], True), ("&", tail, False)]
+    return [(before, "".join(buf), quoted)]
 
 
 def _quoted(s: str, at: int, close: str) -> tuple[str, int]:

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tarnwood.operators import packed
 
@@ -48,3 +50,24 @@ def test_unpack_rows(spark):
     got = [tuple(r) for r in packed.unpack(df, "authors", ["file"], out="author").collect()]
     assert sorted(got) == [("f", 1, "A Bee"), ("f", 2, "C Dee")]
     assert packed.unpack(df.limit(0), "authors", ["file"]).count() == 0
+
+
+FAMILY = ["Doe", "Li", "Ångström", "O'Hara", "Kuroda", "Smith-Jones", "Žižek"]
+GIVEN = ["Jane", "Wei", "J.", "J. R.", "Noémie", "K"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(GIVEN), st.sampled_from(FAMILY), st.booleans()), min_size=1, max_size=8), st.sampled_from(["; ", ";", " | ", "\n", "；", "json", "csv", " / ", "comma", "and"]), st.sampled_from(["", " et al.", ", et al.", "; and others"]))
+def test_round_trip(people, style, tail):
+    """Lists packed in every style come back as they were."""
+    turned = [f"{f}, {g}" if t and style not in ("comma", "and") else f"{g} {f}" for g, f, t in people]
+    if style == "json":
+        assert packed.split_values("[" + ", ".join(f'"{n}"' for n in turned) + "]") == turned
+    elif style == "csv":
+        assert packed.split_values(",".join(f'"{n}"' for n in turned) + tail) == turned
+    elif style == "comma":
+        assert packed.split_values(", ".join(turned) + tail) == turned
+    elif style == "and":
+        assert packed.split_values((", ".join(turned[:-1]) + ", and " if turned[1:] else "") + turned[-1] + tail) == turned
+    else:
+        assert packed.split_values(style.join(turned) + tail) == turned
