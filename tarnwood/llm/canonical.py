@@ -88,7 +88,7 @@ def reference_names(ref: DataFrame, code: str = "iso3", name: str = "name", othe
     return names.select("code", F.array_join("p.part", " ").alias("part"), F.flatten("p.tokens").alias("tokens"), F.array_join("p.joined", "").alias("joined")).where(F.size("tokens") > 0).distinct()
 
 
-def map_to_canonical(df: DataFrame, key: str, value: str, code: str, ref: DataFrame, least: float = 0.5, learn_rows: int = 3, learn_share: float = 0.8) -> DataFrame:
+def map_to_canonical(df: DataFrame, key: str, value: str, code: str, ref: DataFrame, least: float = 0.56, learn_rows: int = 3, learn_share: float = 0.8) -> DataFrame:
     """(key, ref_code, score): the entry meant by each row, ``none`` where there is none."""
     code_len = F.length("c")
     rows = df.select(F.col(key).alias("key"), F.col(value).cast("string").alias("value"), F.upper(F.trim(F.col(code).cast("string"))).alias("c"))
@@ -137,9 +137,10 @@ def map_to_canonical(df: DataFrame, key: str, value: str, code: str, ref: DataFr
     rare = F.log1p(F.col("all").cast("double"))
     weight = tokens.join(pairs.groupBy("token").agg(F.max_by("idf", F.struct("sim", "idf")).alias("w")), "token", "left").join(total).withColumn("w", F.coalesce("w", rare)).drop("all")
     length = weight.groupBy("value", "i").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
-    hits = weight.join(pairs, "token").join(words, "word").groupBy("value", "i", "code", "name_id", "token", "w").agg(F.max(F.col("sim") * F.col("idf")).alias("s"))
-    soft = hits.groupBy("value", "i", "code", "name_id").agg(F.sum(F.col("s") * F.col("w")).alias("dot")).join(norm, "name_id").join(length, ["value", "i"])
-    soft = soft.select("value", "code", (F.col("dot") / (F.col("norm") * F.col("length"))).alias("score"))
+    hits = weight.join(pairs, "token").join(words, "word").groupBy("value", "i", "code", "name_id", "token", "w").agg(F.max(F.col("sim") * F.col("idf")).alias("s"), F.max(F.col("sim") * F.col("idf") ** 2).alias("c"))
+    soft = hits.groupBy("value", "i", "code", "name_id").agg(F.sum(F.col("s") * F.col("w")).alias("dot"), F.sum("c").alias("covered")).join(norm, "name_id").join(length, ["value", "i"])
+    # more than half of the name must be there: "Northern Sea" is not Northern Ireland
+    soft = soft.where(F.col("covered") >= 0.55 * F.col("norm") ** 2).select("value", "code", (F.col("dot") / (F.col("norm") * F.col("length"))).alias("score"))
 
     # each part as one word, against names as one word
     one = near(parts.select(F.col("joined").alias("token")).distinct(), names.select(F.col("joined").alias("word")).distinct())
