@@ -13,17 +13,11 @@ from pyspark.sql.window import Window
 
 from tarnwood.functions import text as tx
 from tarnwood.session import cut
+from tarnwood.sources.tables import spread
 
 K_ROUTE, K_FINAL, RRF_K = 30, 8, 60
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where it comes in fewer splits than there are (a small table in one
-    file); a table of many splits is left as it lies."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def latest(papers: DataFrame) -> DataFrame:
     """One row per file: the last import (most cited where two came at once)."""
     w = Window.partitionBy("file").orderBy(F.desc_nulls_last("ingested_at"), F.desc_nulls_last("cited"))

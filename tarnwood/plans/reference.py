@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tarnwood.functions import text as tx
 from tarnwood.operators import corpus, evaluate, geo, ingest, points, retrieval, tree
+from tarnwood.session import cut
 from tarnwood.sources.tables import table
 from tarnwood.streaming import incremental
 
@@ -65,7 +66,8 @@ def vector_topk(s: SparkSession, d: str) -> DataFrame:
 def _routes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     q, scope = _queries(s, d), _scope(s, d)
     vec = retrieval.vector_search(_vectors(s, d).join(scope, "rowid", "left_semi"), q.where("vector is not null").select("query_id", "vector"))
-    return retrieval.keyword_search(_chunks(s, d), q, scope), vec
+    # the routes' short lists are read several times: computed once
+    return cut(retrieval.keyword_search(_chunks(s, d), q, scope), s), cut(vec, s)
 
 
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
@@ -315,7 +317,7 @@ def learn_overlap(s: SparkSession, d: str) -> DataFrame:
     nodes = tree.nodes(s)
     asked = tree.leaves(nodes).select((-F.col("ord")).cast("long").alias("query_id"), F.col("q").alias("query"))
     q = _queries(s, d).select("query_id", "query").unionByName(asked)
-    hits = retrieval.keyword_search(_chunks(s, d), q, _scope(s, d), k=25).join(_chunks(s, d).select("rowid", "file"), "rowid")
+    hits = cut(retrieval.keyword_search(_chunks(s, d), q, _scope(s, d), k=25), s).join(_chunks(s, d).select("rowid", "file"), "rowid")
     by_node = hits.where("query_id < 0").withColumn("ord", (-F.col("query_id")).cast("int")).join(nodes.select("ord", "id"), "ord").select("id", "file")
     return tree.focus(hits.where("query_id >= 0").select("query_id", "file", "rank"), by_node, nodes).withColumn("score", F.round("score", 6))
 
