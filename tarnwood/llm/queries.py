@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwood.llm import bpe, canonical, mixing, pieces, reading, repeated, scans, variants
 from tarnwood.operators import packed
-from tarnwood.sources.tables import table
+from tarnwood.sources.tables import spread, table
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,14 +16,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("file"), "ref_code").distinct()
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "chunks").select("rowid", "file", "page", "text", "title"), "rowid")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan noise of every line of ``chunks``."""
-    return scans.find_noise(table(spark, sf_dir, "chunks").select("rowid", "file", "page", "text", "title"), "rowid", "text", "file", "page", "title").distinct()
+    return scans.find_noise(_segments(spark, sf_dir), "rowid", "text", "file", "page", "title").distinct()
 
 
 def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment as continuous, readable paragraphs."""
-    return scans.repair(table(spark, sf_dir, "chunks").select("rowid", "file", "page", "text", "title"), "rowid", "text", "file", "page", "title")
+    return scans.repair(_segments(spark, sf_dir), "rowid", "text", "file", "page", "title")
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated.excessive_occurrences(table(spark, sf_dir, "chunks").select("rowid", "file", "text"), _sources(spark, sf_dir), "rowid", "text", "file")
+    return repeated.excessive_occurrences(spread(table(spark, sf_dir, "chunks").select("rowid", "file", "text"), "rowid"), _sources(spark, sf_dir), "rowid", "text", "file")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +75,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document in the vocabulary byte_bpe_50k."""
-    return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", bpe.token_count(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", bpe.token_count(F.col("text")).alias("tokens"))
     return mixing.mix(docs, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "tokens")
 
 
@@ -95,7 +100,7 @@ _BLANK = r"[ \t\n\x0B\f\r]+"
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level of every English document with at least 60 words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     scale = reading.fit_on(docs, table(spark, sf_dir, "level_labels"), "doc_id", "text", "level")
     long = docs.where(F.col("lang") == "en").where(F.size(F.filter(F.split("text", _BLANK), lambda w: w != "")) >= 60)
     # a text of digits alone has words but no letters: it is read by the easiest reader
