@@ -51,9 +51,9 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "rowid", co
     tf = cut(tf, chunks.sparkSession)  # read for the frequencies and for the scores
     df = tf.groupBy("phrase").agg(F.count("*").alias("n"))
     weight = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    idf = df.join(F.broadcast(size)).select("phrase", weight.alias("idf"), "avgdl")
-    part = F.col("times") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(idf, "phrase").join(wanted, "phrase").groupBy("query_id", "key").agg(F.sum(part).alias("score"), F.count("*").alias("met"))
+    asked = df.join(F.broadcast(size)).join(wanted, "phrase").select("query_id", "phrase", (F.col("times") * weight).alias("weight"), "avgdl")
+    part = F.col("weight") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(asked, "phrase").groupBy("query_id", "key").agg(F.sum(part).alias("score"), F.count("*").alias("met"))
     if mode == "AND":
         scored = scored.join(wanted.groupBy("query_id").agg(F.count("*").alias("all")), "query_id").where("met = all")
     return scored.select("query_id", F.col("key").alias(key), F.round("score", 6).alias("score"))
