@@ -223,7 +223,7 @@ def vector_reuse(s: SparkSession, d: str) -> DataFrame:
 
 
 def vector_norms(s: SparkSession, d: str) -> DataFrame:
-    n = retrieval.normalised(F.transform("vector", lambda x: x * 3))
+    n = retrieval.normalised(F.transform("vector", lambda x: (x * 3).cast("float")))
     return _vectors(s, d).select("rowid", F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"), F.round(n[0], 4).alias("first"))
 
 
