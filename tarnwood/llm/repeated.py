@@ -26,8 +26,8 @@ from tarnwood.session import cut
 
 #: Largest side that is broadcast, in rows of two or three longs; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Counters of the largest summary, and counters per line of a file.
-MOST_COUNTERS, PER_LINE = 1 << 20, 64
+#: Counters of the largest summary (Spark allows 1,000,000), and counters per line of a file.
+MOST_COUNTERS, PER_LINE = 1 << 19, 64
 
 
 def folded(line: Column) -> Column:

@@ -140,6 +140,12 @@ def test_summaries_too_small_take_the_exact_way(spark, monkeypatch):
     assert {r["line_no"] for r in repeated.excessive_occurrences(docs, src, "rowid", "text", "file").collect()} == {1}
 
 
+def test_files_longer_than_the_largest_summary(spark):
+    docs = spark.range(3).select(F.col("id").alias("rowid"), F.concat(F.lit("f"), F.col("id")).alias("file"), F.concat(F.lit("The same long line everywhere\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9999)), lambda i: F.concat(F.lit("own line "), F.translate(F.md5(F.concat_ws("-", "id", i)), "0123456789", "ghijklmnop"))), "\n")).alias("text"))
+    src = spark.createDataFrame([(f"f{i}", "v") for i in range(3)], "file string, source string")
+    assert {(r["rowid"], r["line_no"]) for r in repeated.excessive_occurrences(docs, src, "rowid", "text", "file").collect()} == {(0, 1), (1, 1), (2, 1)}
+
+
 # --- p5
 @pytest.mark.parametrize("text", ["x" * 5000, "word " * 1500, "A sentence here. " * 400, "图给出了对比。" * 700, "\n" * 4000, "a\n\nb" * 1500, "😀" * 2500, ("para " * 100 + "\n\n") * 9, "x" * 1921])
 def test_pieces_cover(text):
