@@ -186,6 +186,39 @@ def test_pieces_are_as_cheap_as_brute_force():
     assert cost(got) == pytest.approx(best)
 
 
+def test_pieces_overlap_as_far_as_natural_places_allow():
+    rng = random.Random(5)
+    for _ in range(20):
+        text = "".join("x" * rng.randint(2, 9) + rng.choice([" ", " ", " ", ", ", ". ", "\n"]) for _ in range(700))
+        natural = pieces.boundaries(text, forced=False)[0]
+        assert len(natural) >= 700
+        cuts = pieces.cut_points(text, 1920, 160)
+        for (a, e), (s, f) in zip(cuts, cuts[1:], strict=False):
+            assert s == min(x for x in natural if x > a and x >= e - 160 and f - x <= 1920)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pieces_starts_and_ends_are_chosen_together(seed):
+    """The cost of the dynamic programme against every choice of ends and starts, on all places."""
+    rng = random.Random(seed)
+    text = "".join("x" * rng.randint(1, 4) + rng.choice([" ", ", ", ". ", "\n"]) for _ in range(11))
+    at, price = pieces.boundaries(text, forced=False)
+    limit, overlap, ideal, n = 14, 5, 12.0, len(text)
+
+    def least(start, end):
+        """Over all covers whose next piece starts at ``start`` after an end at ``end``."""
+        best = float("inf")
+        for j, e in enumerate(at):
+            if end < e <= start + limit:
+                cost = price[j] + 12.0 * ((e - start - ideal) / ideal) ** 2 + 3.0
+                if e < n:
+                    cost += min(price[i] * 0.5 + 10.0 * (overlap - e + s) / overlap + least(s, e) for i, s in enumerate(at) if e - overlap <= s <= e)
+                best = min(best, cost)
+        return best
+
+    assert pieces._cover(at, price, limit, overlap, ideal)[0] == pytest.approx(least(0, 0))
+
+
 def test_split_rows(spark):
     df = spark.createDataFrame([(1, "x" * 2000, "p"), (2, None, "p"), (3, "", "p"), (4, "short", "p"), (1, "x" * 2000, "p")], "rowid long, text string, piece string")
     got = pieces.split_long(df, "rowid", "text").collect()
