@@ -4,8 +4,10 @@ Kinds of noise found per line: words broken to fit the line (``hyphen``), misrea
 (``char``), running heads (``header``) and page numbers (``pageno``).
 
 * Vocabulary: one pass counts the words of the whole corpus, pre-aggregated per task; words of
-  at least ``SHARE`` of all words are the vocabulary, so it has at most 1 / SHARE entries however
-  large the corpus is, and is broadcast.
+  at least ``LEAST`` occurrences are the vocabulary, whatever the size of the corpus.  The
+  ``MOST_WORDS`` most frequent are broadcast.  If there are more, the spellings of each text that
+  are not among those are joined to the counts of the others, by the word, its skeleton and the
+  skeleton less one character, and each text is judged with the rare words it asked for.
 * Misread words: scanners confuse characters that look alike.  Every word is written in a skeleton
   alphabet in which such characters are equal; the vocabulary's skeletons form a trie, and the
   Levenshtein automaton of a word's skeleton is intersected with the trie, which retrieves all
@@ -27,7 +29,7 @@ it lies; only its counted facts come together.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,7 +39,9 @@ from pyspark.sql import types as T
 
 from tarnwood.session import cut
 
-#: A vocabulary word is at least this share of all words (and three occurrences).
+#: A vocabulary word has at least so many occurrences; so many words are broadcast.
+LEAST, MOST_WORDS = 3, 100_000
+#: A pair of neighbours is at least this share of all words (and three occurrences).
 SHARE = 1e-6
 #: A spelling is a misreading only if the word it stands for is this many times as frequent.
 TIMES = 16
@@ -136,6 +140,7 @@ class Lexicon:
         self.meant: dict[str, list[tuple[int, str]]] = {}
         self.bad: dict[str, str] = {}
         self.good: set[str] = set()
+        self.sure: set[str] = set()
 
     def candidates(self, word: str) -> list[tuple[int, str]]:
         """(edits, vocabulary word) that a spelling may stand for; empty if it stands for itself."""
@@ -199,6 +204,87 @@ class Lexicon:
         return found
 
 
+class Local(Lexicon):
+    """A lexicon with the rare words that one text asks for.  A word of the base is more frequent
+    than any of them, so the base answers for it."""
+
+    def __init__(self, base: Lexicon, rare: dict[str, int]):
+        self.base, self.pairs, self.rare = base, base.pairs, Trie()
+        words = {w: n for w, n in rare.items() if not w.endswith("-")}
+        self.counts = ChainMap(words, base.counts)
+        self.heads = ChainMap({w[:-1]: n for w, n in rare.items() if w.endswith("-")}, base.heads)
+        for w in words:
+            self.rare.add(skeleton(w), w)
+        self.trie = self
+        self.meant, self.bad, self.good = {}, {}, set()
+
+    def within(self, key: str, k: int) -> list[tuple[int, str]]:
+        return self.base.trie.within(key, k) + self.rare.within(key, k)
+
+    def candidates(self, word: str) -> list[tuple[int, str]]:
+        return self.base.candidates(word) if word in self.base.counts else super().candidates(word)
+
+    def misread(self, tokens: set[str]) -> dict[str, str]:
+        rest, sure = set(), self.base.sure
+        for t in tokens - sure:
+            w = core(t)
+            if w in self.base.counts and not self.base.candidates(w):
+                sure.add(t)
+            else:
+                rest.add(t)
+        if len(sure) > 1_000_000:
+            sure.clear()
+        return super().misread(rest)
+
+
+class Asked:
+    """Stands in for a lexicon and notes the spellings it is asked for, but for ``frequent`` ones.
+    It knows no word, so that all places for the second half of a broken word are tried, and
+    counts every part, so that the other part is asked for too."""
+
+    def __init__(self, frequent: dict[str, int]):
+        self.frequent, self.words, self.sure = frequent, set(), set()
+        self.counts, self.heads = self, _Heads(self)
+
+    def note(self, word: str) -> None:
+        if word not in self.frequent and len(word) <= 64 and _LETTERS.search(word):
+            self.words.add(word)
+            if "-" in word:
+                self.words.update(p for p in word.split("-") if p and p not in self.frequent)
+
+    def get(self, word: str, _: int = 0) -> int:
+        self.note(word)
+        return LEAST
+
+    def known(self, word: str) -> int:
+        self.note(word)
+        return 0
+
+    def best(self, word: str, left: str = "", right: str = "") -> None:
+        self.note(word)
+
+    def misread(self, tokens: set[str]) -> dict[str, str]:
+        for t in tokens - self.sure:
+            w = core(t)
+            if w in self.frequent:
+                self.sure.add(t)
+            else:
+                self.note(w)
+        if len(self.sure) > 1_000_000:
+            self.sure.clear()
+        return {}
+
+
+class _Heads:
+    def __init__(self, asked: Asked):
+        self.asked = asked
+
+    def get(self, word: str, _: int = 0) -> int:
+        if len(word) <= 64:
+            self.asked.words.add(word + "-")
+        return 1
+
+
 _ROMAN = re.compile(r"(?=[ivxlc])(?:x[lc]|l?x{0,4}|c{1,3}l?x{0,4})(?:ix|iv|v?i{0,4})", re.I)
 _NUMBER = re.compile(r"(?:[\d OIlSBZ|/]|of){1,12}")
 _DRESSED = re.compile(r"(?i)(?:[-–—~•]\s*(?P<a>[\dOIlSsBZ|/]{1,5}|[ivxlc]+)\s*[-–—~•]|\[\s*(?P<b>[\dOIlSsBZ|/]{1,5}|[ivxlc]+)\s*\]|\(\s*(?P<g>[\dOIlSsBZ|/]{1,5})\s*\)|(?:page|pagc|pg\.?|p\.|seite|s\.)\s*(?P<c>[\dOIlSsBZ|/]{1,5}|[ivxlc]+)|(?P<d>[\dOIlSsBZ|/]{1,5})\s+(?:of|ot|0f|from)\s+[\dOIlSsBZ|/]{1,5}|(?P<e>[\dOIlSsBZ|/]{1,5}))")
@@ -517,13 +603,69 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield emit()
 
 
-def vocabulary(df: DataFrame, text: str) -> dict[str, int]:
-    """The vocabulary with its counts (at most 1 / SHARE words)."""
+def vocabulary(df: DataFrame, text: str) -> tuple[dict[str, int], DataFrame | None]:
+    """The most frequent words of the vocabulary with their counts (at most ``MOST_WORDS``), and (word, n)
+    of the others, None if there are no others."""
     counted = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(_count_words, "word string, n long")
-    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")), df.sparkSession)
-    total = counted.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = counted.where((F.col("word") != "") & (F.col("n") >= max(3, int(total * SHARE)))).collect()
-    return {r["word"]: r["n"] for r in rows}
+    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")), df.sparkSession).where((F.col("word") != "") & (F.col("n") >= LEAST))
+    rows = counted.orderBy(F.desc("n")).limit(MOST_WORDS + 1).collect()
+    if len(rows) <= MOST_WORDS:
+        return {r["word"]: r["n"] for r in rows}, None
+    floor = rows[-1]["n"] + 1
+    return {r["word"]: r["n"] for r in rows if r["n"] >= floor}, counted.where(F.col("n") < floor)
+
+
+def _less_one(key: str) -> set[str]:
+    return {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))}
+
+
+def _asked_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for w in batch["word"]:
+            out.append(("=" + w, w))
+            if not w.endswith("-"):
+                out.append(("0" + skeleton(w), w))
+                if len(w) >= 5 and not _PLAIN.fullmatch(w) and "." not in w:
+                    out += [("1" + k, w) for k in _less_one(skeleton(w))]
+        yield pd.DataFrame(out, columns=["key", "word"])
+
+
+def _rare_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for w, n in zip(batch["word"], batch["n"], strict=True):
+            out.append(("=" + w, w, n))
+            if n >= TIMES and not w.endswith("-"):
+                out.append(("0" + skeleton(w), w, n))
+                if len(w) >= 4:
+                    out += [("1" + k, w, n) for k in _less_one(skeleton(w))]
+        yield pd.DataFrame(out, columns=["key", "rare", "n"])
+
+
+def _with_rare(rows: DataFrame, rare: DataFrame, words) -> DataFrame:
+    """``rows`` with ``rare``: the rare words, with their counts, that may answer for the spellings of
+    the text.  Words ending in a hyphen are the beginnings of hyphenated ones."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = Asked(words.value[0])
+        for batch in batches:
+            out = []
+            for (_, t, p, facts), i in zip(_rows(batch), batch["id"], strict=True):
+                asked.words = set()
+                analyse(t, facts, p, asked)
+                out += [(i, w) for w in asked.words]
+            yield pd.DataFrame(out, columns=["id", "word"])
+
+    rows = rows.withColumn("id", F.xxhash64("text"))
+    asked = cut(rows.mapInPandas(ask, "id long, word string").distinct(), rows.sparkSession)
+    parts = F.split("word", "-")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "-"), F.lit("-")))
+    heads = rare.where(F.col("word").contains("-")).select(F.explode(heads).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    keys = rare.unionByName(heads).mapInPandas(_rare_keys, "key string, rare string, n long")
+    answers = asked.select("word").distinct().mapInPandas(_asked_keys, "key string, word string").join(keys, "key").select("word", "rare", "n").distinct()
+    found = asked.join(answers, "word").groupBy("id").agg(F.collect_set(F.struct("rare", "n")).alias("rare"))
+    return rows.join(found, "id", "left").drop("id")
 
 
 def ambiguous(counts: dict[str, int]) -> set[str]:
@@ -602,14 +744,15 @@ def file_facts(df: DataFrame, text: str, file: str, page: str, least: int = 3, s
 
 def _prepared(df: DataFrame, key: str, text: str, file: str, page: str, title: str) -> tuple[DataFrame, object]:
     spark = df.sparkSession
-    counts = vocabulary(df, text)
+    counts, rare = vocabulary(df, text)
     alike = ambiguous(counts)
     pairs = neighbours(df, text, alike, sum(counts.values())) if alike else {}
     words = spark.sparkContext.broadcast((counts, pairs))
     facts = file_facts(df, text, file, page)
     facts = F.broadcast(facts) if facts.limit(FACT_ROWS + 1).count() <= FACT_ROWS else facts
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(page).cast("string").alias("page"), F.col(title).alias("title"))
-    return rows.join(facts, "file", "left"), words
+    rows = rows.join(facts, "file", "left")
+    return rows if rare is None else _with_rare(rows, rare, words), words
 
 
 _LEXICONS: dict[int, Lexicon] = {}  # by the broadcast value, which the lexicon keeps alive
@@ -625,6 +768,12 @@ def _lexicon(words) -> Lexicon:
     return known
 
 
+def _locals(batch: pd.DataFrame, lexicon: Lexicon) -> Iterator[Lexicon]:
+    """The lexicon of each row."""
+    for rare in batch["rare"] if "rare" in batch else [None] * len(batch):
+        yield lexicon if rare is None else Local(lexicon, {r["rare"]: r["n"] for r in rare})
+
+
 def _rows(batch: pd.DataFrame) -> Iterator[tuple]:
     last: tuple | None = None
     facts = None
@@ -645,8 +794,8 @@ def find_noise(df: DataFrame, key: str, text: str, file: str, page: str, title:
         lexicon = _lexicon(words)
         for batch in batches:
             out: list[tuple] = []
-            for k, t, p, facts in _rows(batch):
-                _, skip, breaks, wrong = analyse(t, facts, p, lexicon)
+            for (k, t, p, facts), own in zip(_rows(batch), _locals(batch, lexicon), strict=True):
+                _, skip, breaks, wrong = analyse(t, facts, p, own)
                 out += [(k, i + 1, kind) for i, kind in skip.items()]
                 out += [(k, i + 1, "hyphen") for i, b in breaks.items() if b[0]]
                 out += [(k, i + 1, "char") for i in wrong]
@@ -663,7 +812,7 @@ def repair(df: DataFrame, key: str, text: str, file: str, page: str, title: str,
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = _lexicon(words)
         for batch in batches:
-            yield pd.DataFrame([(k, repaired(t, facts, p, lexicon)) for k, t, p, facts in _rows(batch)], columns=[key, out])
+            yield pd.DataFrame([(k, repaired(t, facts, p, own)) for (k, t, p, facts), own in zip(_rows(batch), _locals(batch, lexicon), strict=True)], columns=[key, out])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(out, T.StringType())])
     return rows.mapInPandas(mend, schema).unionByName(df.where(F.col(text).isNull()).select(key, F.lit(None).cast("string").alias(out)))

@@ -110,6 +110,50 @@ def test_scan_rows(spark):
     assert clean[100] is None and clean[101] == "" and "measured" in clean[3]
 
 
+def noisy(spark, n=60):
+    """Segments in which common and rare words are misread, broken and hyphenated."""
+    rng = random.Random(9)
+    rare = ["dulerganuk", "nuwitoliva", "paneriel", "hexa-fluoro-propane", "fluoro", "propane", "configuration"]
+    rows = []
+    for i in range(n):
+        lines = [[rng.choice(WORDS + rare) for _ in range(9)] for _ in range(12)]
+        text = [" ".join(x) for x in lines]
+        w = rng.choice(rare[:3])
+        text[2] += " " + rng.choice([w.replace("n", "ri"), w.replace("i", "1"), w.replace("r", "3", 1), w.replace("l", "l8"), f"{w.replace('e', 'c')}-propane"])
+        text[5] += f" {w[:4]}-"
+        text[6] = f"{w[4:]} {text[6]}"
+        text[8] += " hexa-fluoro-"
+        text[9] = f"propane {text[9]}"
+        text[10] += " electrode-" + ("xyz" if i % 2 else "")
+        rows.append((i, f"f{i % 5}", str(i), "\n".join(text), "Some other title of the file"))
+    rows += [(900, "f1", "1", None, "t"), (901, "f1", "1", "", None), rows[0]]
+    return spark.createDataFrame(rows, "rowid long, file string, page string, text string, title string")
+
+
+def test_rare_words_looked_up_by_joins_answer_alike(spark, monkeypatch):
+    df = noisy(spark)
+
+    def results():
+        found = sorted(tuple(r) for r in scans.find_noise(df, "rowid", "text", "file", "page", "title").collect())
+        return found, sorted((r["rowid"], r["clean"] or "") for r in scans.repair(df, "rowid", "text", "file", "page", "title").collect())
+
+    whole = results()
+    assert sum(kind == "char" for _, _, kind in whole[0]) >= 40 and sum(kind == "hyphen" for _, _, kind in whole[0]) >= 60
+    for most in (0, 12, 25):
+        monkeypatch.setattr(scans, "MOST_WORDS", most)
+        assert scans.vocabulary(df, "text")[1] is not None
+        assert results() == whole
+
+
+def test_counts_are_the_same_in_a_corpus_of_any_size(spark):
+    """Twenty million words beside it do not hide a word of 18 occurrences, nor its own count of 3."""
+    text = "dulerganuk " * 18 + "\nand du1erganuk here\n" + "electrode " * 40 + "elecfrode " * 3
+    few = spark.createDataFrame([(1, "f", "1", text, "t")], "rowid long, file string, page string, text string, title string")
+    many = spark.range(2, 22).select(F.col("id").alias("rowid"), F.lit("g").alias("file"), F.lit("1").alias("page"), F.repeat(F.lit("a "), 1_000_000).alias("text"), F.lit("t").alias("title"))
+    got = [{tuple(r) for r in scans.find_noise(df, "rowid", "text", "file", "page", "title").collect()} for df in (few, few.unionByName(many))]
+    assert got[0] == got[1] == {(1, 2, "char")}
+
+
 # --- p4
 def test_repeated_lines(spark):
     note = "Reported by the editorial desk on day {}"
