@@ -390,11 +390,29 @@ class Facts:
         self.titles = title_words(title, file)
         self.offset = offset
         self.heads = set(heads or ())
+        self.near = Trie()
+        for key in self.heads:
+            self.near.add(key, key)
+        self.sizes = {len(key) for key in self.heads}
+
+    def is_head(self, line: str) -> bool:
+        """Whether a line is a printing of a repeated head, one edit allowed in ten characters, three at most."""
+        if not self.heads:
+            return False
+        key = head_key(line)
+        if key in self.heads:
+            return True
+        k = min(3, len(key) // 10)
+        return k > 0 and any(abs(n - len(key)) <= k for n in self.sizes) and bool(self.near.within(key, k))
+
+
+_FREE_NUMBER = re.compile(r"(?:\s*\b(?=[olisbzg|]*\d)[\dolisbzg|]+(?!\w))+\s*")
 
 
 def head_key(line: str) -> str:
-    """The same for all printings of a running head, whatever its page number and misreadings."""
-    return re.sub(r"[\dolsbzg\s]*\d[\dolsbzg\s]*", "#", re.sub(r"\s+", " ", _SIDE.sub("", line.strip()).lower())).translate(_SKELETON)
+    """The same for all printings of a running head, whatever its page number and look-alike misreadings:
+    free-standing numbers are one sign, digits within words are what they look like."""
+    return _FREE_NUMBER.sub("#", re.sub(r"\s+", " ", _SIDE.sub("", line.strip()).lower())).translate(_SKELETON)
 
 
 def as_page(page: str | None) -> int | None:
@@ -422,7 +440,7 @@ def furniture(lines: list[str], facts: Facts, page: str | None) -> dict[int, str
         c = s[0]
         if not (c.isupper() or c.isdigit() or c in "|[€@" or s[:2] in ("cl", "li", "rn", "ri", "vv", "ii")):
             continue
-        if repeats_title(s, facts.titles) or "(" in s and _ISSUE.fullmatch(s) or ("ol" in s or "o1" in s or "No" in s) and _VOLUME.fullmatch(s) and interrupts(lines, i) or facts.heads and head_key(s) in facts.heads:
+        if repeats_title(s, facts.titles) or "(" in s and _ISSUE.fullmatch(s) or ("ol" in s or "o1" in s or "No" in s) and _VOLUME.fullmatch(s) and interrupts(lines, i) or facts.is_head(s):
             out[i] = "header"
     return out
 

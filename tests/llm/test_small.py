@@ -73,6 +73,20 @@ def test_heads(line):
     assert analyse(f"the pitch of\n{line}\nthe stator was measured")[0] == {1: "header"}
 
 
+@pytest.mark.parametrize("line", ["Seminar Notes, second series", "Seminar N0tes, second series 12", "Seminar Notes, sec0nd series", "Seminar Note5, second series", "3 Seminar Notes, second series", "Seminar Nofes, second series", "Seminar Notes, second serics l2", "Serninar Notes, sccond series"])
+def test_misread_printings_of_a_repeated_head(line):
+    facts = scans.Facts(None, None, None, [scans.head_key("Seminar Notes, second series"), scans.head_key("Seminar Notes, second series 14"), scans.head_key("7 Seminar Notes, second series")])
+    assert facts.is_head(line)
+    assert not any(facts.is_head(x) for x in ("Seminar Notes", "A second series of notes", "Seminar Papers, second series", "Seminar"))
+
+
+def test_misread_heads_of_a_file_are_found(spark):
+    heads = {7: "Seminar N0tes, second series", 13: "Seminar Notes, sec0nd series", 19: "Seminar Note5, second series"}
+    text = lambda i: f"the measured voltage of sample {chr(97 + i)} was\n{heads.get(i, 'Seminar Notes, second series')}\nlower than the one before"
+    df = spark.createDataFrame([(i, "f", str(i), text(i), "Quite another title") for i in range(26)], "rowid long, file string, page string, text string, title string")
+    assert {r["rowid"] for r in scans.find_noise(df, "rowid", "text", "file", "page", "title").where("kind = 'header' and line_no = 2").collect()} == set(range(26))
+
+
 def test_soft_signs_and_edges():
     assert analyse("the dielec¬\ntric layer\nthe elec\xad")[1] == {0, 2}
     assert analyse("the multi-")[1] == set() and analyse("the elec-")[1] == {0}
