@@ -97,7 +97,27 @@ _SWEEP = ", ".join(f"({i}, {a!r}::double, {b!r}::double)" for i, (a, b) in enume
 _PREVIEW = """case when body = '' then '' else (case when start > 0 then '…' else '' end) || (case when tok is null then seg else regexp_replace(seg, '(?i)(' || regexp_replace(tok, '([.\\\\\\-])', '\\\\\\1', 'g') || ')', '【\\1】', 'g') end)
    || (case when start + 340 < length(body) then '…' else '' end) end"""
 
+_STRIP_ALL = lambda c: f"regexp_replace({c}, '^[\\s\\x0B\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x0B\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')"
+#: CTE clean(id, t) from a table source(id, text): text without publisher noise.
+_CLEAN = """noisy as (select id, regexp_replace(coalesce(text, ''), 'Authorized licensed use limited to:.{0,120}?Restrictions apply\\.', ' ', 'gis') as t from source),
+        less as (select id, regexp_replace(regexp_replace(t, 'Downloaded on .{0,60}?from IEEE Xplore\\.', ' ', 'gi'), 'This article has been accepted for publication.{0,160}?content may change', ' ', 'gis') as t from noisy),
+        clean as (select id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as t from less)"""
+#: CTE chunk(id, chunk_no, chunk) from clean: stretches by recursion over what is left of a paragraph, chunks by recursion over stretches.
+_CHUNKS = f"""par as (select id, i, p from (select id, unnest(ps) as p, generate_subscripts(ps, 1) as i from (select id, list_transform(regexp_split_to_array(t, '\\n[\\s\\x0B\\x1c-\\x1f\\x85\\p{{Z}}]*\\n'), lambda x: {_STRIP_ALL('x')}) as ps from clean where length(t) > 1680)) where p <> ''),
+        cuts as (select id, i, 0 as k, '' as part, p as rest, false as alone from par
+            union all select id, i, k + 1, case when length(rest) > 1920 then substr(rest, 1, at0) else rest end, case when length(rest) > 1920 then substr(rest, at0 + 1) else '' end, length(rest) > 1920
+            from (select *, case when strpos(reverse(substr(rest, 1, 1200)), ' .') between 1 and 600 then 1201 - strpos(reverse(substr(rest, 1, 1200)), ' .') else 1200 end as at0 from cuts where rest <> '')),
+        parts as (select id, part, alone, length(part) as size, row_number() over (partition by id order by i, k) as seq from cuts where k > 0),
+        fold as (select id, seq, case when alone then 0 else size end as held, 1 as grp from parts where seq = 1
+            union all select p.id, p.seq, case when alone then 0 when held > 0 and held + size + 2 <= 1200 then held + 2 + size else size end, grp + case when not alone and held > 0 and held + size + 2 <= 1200 then 0 else 1 end
+            from fold f join parts p on p.id = f.id and p.seq = f.seq + 1),
+        packed as (select id, grp, {_STRIP_ALL("string_agg(part, chr(10) || chr(10) order by seq)")} as c from parts join fold using (id, seq) group by id, grp),
+        tailed as (select *, sum(case when length(c) >= 200 or grp = 1 then 1 else 0 end) over (partition by id order by grp) as g from packed),
+        merged as (select id, g, {_STRIP_ALL("string_agg(c, chr(10) || chr(10) order by grp)")} as c from tailed group by id, g),
+        chunk as (select id, row_number() over (partition by id order by g) as chunk_no, c as chunk from merged where length(c) >= 100 union all select id, 1, t from clean where length(t) between 200 and 1680)"""
+
 SQL: dict[str, str] = {
+    "chunk_documents": f"with recursive source as (select doc_id as id, text from documents), {_CLEAN}, {_CHUNKS} select id as doc_id, chunk_no, chunk from chunk",
     "tokenize_counts": f"select doc_id, len(t) as tokens, len(list_distinct(t)) as different from (select doc_id, {_tokens('text')} as t from documents)",
     "match_expressions": f"select doc_id, case when len(t) > 0 then array_to_string(list_transform(t, lambda x: '\"' || x || '\"'), ' OR ') end as expression from (select doc_id, {_tokens('title')} as t from documents)",
     "bm25_topk": f"{ALL} select query_id, rowid, score, rank from kw",
