@@ -3,17 +3,19 @@ rank fusion.  A query is a row, so any number of queries is one plan."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tarnwood.functions import text as tx
-from tarnwood.session import cut
-from tarnwood.sources.tables import spread
+from tarnwood.session import cut, kept
 
 K_ROUTE, K_FINAL, RRF_K = 30, 8, 60
 
@@ -30,28 +32,63 @@ def query_phrases(queries: DataFrame, query: str = "query", qid: str = "query_id
     return t.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
 
 
-def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "rowid", columns: Sequence[str] = ("text", "title"), k1: float = 1.2, b: float = 0.75, mode: str = "OR") -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, key, dl, f, at) and one row of (docs, avgdl)."""
+
+    postings: DataFrame
+    size: DataFrame
+
+    @staticmethod
+    def over(chunks: DataFrame, key: str = "rowid", columns: Sequence[str] = ("text", "title")) -> Index:
+        """The index as a plan over the texts, tokenised each time it is read.  ``key`` tells the rows apart."""
+        # all columns as one list of terms; the empty term between two columns keeps phrases apart
+        joined = F.concat(*[x for c in columns for x in (tx.terms(F.col(c)), F.array(F.lit("")))])
+        doc = chunks.select(F.col(key).alias("key"), *columns).repartition("key").select("key", joined.alias("ts")).withColumn("dl", F.size("ts") - len(columns))
+        terms = doc.select("key", "dl", F.posexplode("ts").alias("pos", "term")).where("term <> ''")
+        postings = terms.groupBy("key", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("f"), F.collect_list("pos").alias("at"))
+        return Index(postings, doc.agg(F.count("*").cast("double").alias("docs"), F.avg("dl").alias("avgdl")))
+
+    @staticmethod
+    def built(chunks: DataFrame, key: str = "rowid", columns: Sequence[str] = ("text", "title")) -> Index:
+        """The index written once for an application and a state of the files, then read.
+
+        The texts are shuffled once, by key; a frequent term is spread over all files.  Files are sorted by term,
+        so a search for few terms reads the row groups of these only."""
+        spark, name = chunks.sparkSession, f"terms-{key}-{'-'.join(columns)}"
+        plan = Index.over(chunks, key, columns)
+        return Index(kept(spark, name, chunks, lambda: plan.postings.sortWithinPartitions("term")), kept(spark, name + "-size", chunks, lambda: plan.size))
+
+
+#: Rows of (query, phrase) up to which questions are scored together as one matrix, and terms up to which a scan is asked for them by name.
+ASKED, NAMED = 50_000, 1_000
+
+
+def _matches(postings: DataFrame, phrases: DataFrame, hint=lambda df: df) -> DataFrame:
+    """(phrase, key, dl, f) of (phrase, ts): how often each phrase occurs in each document.  Several terms match
+    by aligned positions, so ``multi-layer`` matches its words side by side; one term needs no positions."""
+    one = phrases.where(F.size("ts") == 1).select("phrase", F.col("ts")[0].alias("term"))
+    single = postings.join(hint(one), "term").select("phrase", "key", "dl", "f")
+    parts = phrases.where(F.size("ts") > 1).select("phrase", F.size("ts").alias("m"), F.posexplode("ts").alias("k", "term"))
+    hits = postings.join(hint(parts), "term").select("phrase", "m", "key", "dl", "k", F.explode("at").alias("pos"))
+    whole = hits.groupBy("phrase", "m", "key", "dl", (F.col("pos") - F.col("k")).alias("at")).agg(F.count("*").alias("n")).where("n = m")
+    return single.unionByName(whole.groupBy("phrase", "key", "dl").agg(F.count("*").alias("f")))
+
+
+def _rarity(docs: Column | float, n: Column | int):
+    return (docs - n + 0.5) / (n + 0.5)
+
+
+def keyword_scores(chunks: DataFrame | Index, queries: DataFrame, key: str = "rowid", columns: Sequence[str] = ("text", "title"), k1: float = 1.2, b: float = 0.75, mode: str = "OR") -> DataFrame:
     """(query_id, key, score): BM25 of every document with at least one phrase (all phrases with mode AND).
 
-    Document frequencies and lengths come from the whole table.  Only occurrences of query
-    terms are exploded into positions; phrases are matched by aligned positions, so a token such
-    as ``multi-layer`` matches its words side by side.
-    """
-    # all columns as one list of terms; the empty term between two columns keeps phrases apart
-    joined = F.concat(*[x for c in columns for x in (tx.terms(F.col(c)), F.array(F.lit("")))])
-    doc = spread(chunks.select(key, *columns), key).select(F.col(key).alias("key"), joined.alias("ts")).withColumn("dl", F.size("ts") - len(columns))
-    size = doc.agg(F.count("*").cast("double").alias("docs"), F.avg("dl").alias("avgdl"))
+    Document frequencies and lengths come from the whole table."""
+    index = chunks if isinstance(chunks, Index) else Index.over(chunks, key, columns)
     wanted = query_phrases(queries)
-    phrases = wanted.select("phrase").distinct().withColumn("ts", tx.terms(F.col("phrase"))).where(F.size("ts") > 0)
-    parts = phrases.select("phrase", F.size("ts").alias("m"), F.posexplode("ts").alias("k", "term"))
-    occurrences = doc.select("key", "dl", F.posexplode("ts").alias("pos", "term"))
-    hits = occurrences.join(parts, "term").select("phrase", "m", "key", "dl", (F.col("pos") - F.col("k")).alias("at"), "k")
-    whole = hits.groupBy("phrase", "m", "key", "dl", "at").agg(F.count("*").alias("n")).where("n = m")
-    tf = whole.groupBy("phrase", "key", "dl").agg(F.count("*").alias("f"))
-    tf = cut(tf, chunks.sparkSession)  # read for the frequencies and for the scores
+    tf = _matches(index.postings, wanted.select("phrase").distinct().withColumn("ts", tx.terms(F.col("phrase"))))
     df = tf.groupBy("phrase").agg(F.count("*").alias("n"))
-    weight = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    asked = df.join(F.broadcast(size)).join(wanted, "phrase").select("query_id", "phrase", (F.col("times") * weight).alias("weight"), "avgdl")
+    weight = F.greatest(F.log(_rarity(F.col("docs"), F.col("n"))), F.lit(1e-6))
+    asked = df.join(F.broadcast(index.size)).join(wanted, "phrase").select("query_id", "phrase", (F.col("times") * weight).alias("weight"), "avgdl")
     part = F.col("weight") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = tf.join(asked, "phrase").groupBy("query_id", "key").agg(F.sum(part).alias("score"), F.count("*").alias("met"))
     if mode == "AND":
@@ -59,16 +96,96 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "rowid", co
     return scored.select("query_id", F.col("key").alias(key), F.round("score", 6).alias("score"))
 
 
+class Best:
+    """The best ``k`` of each of several questions, fed with scores slice by slice; equal scores by key."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.score, self.key = k, np.empty((questions, 0)), np.empty((questions, 0), dtype=object)
+
+    def add(self, score: np.ndarray, keys: np.ndarray) -> None:
+        """``score`` is questions x keys; -inf is no hit."""
+        score = np.hstack([self.score, score])
+        key = np.hstack([self.key, np.broadcast_to(keys.astype(object), (len(score), len(keys)))])
+        if score.shape[1] > self.k:
+            least = np.partition(score, -self.k, axis=1)[:, -self.k, None]
+            take, equal = score > least, score == least
+            free = self.k - take.sum(1)
+            for i in np.flatnonzero(equal.sum(1) > free):
+                tied = sorted(np.flatnonzero(equal[i]), key=key[i].__getitem__) if np.isfinite(least[i]) else np.flatnonzero(equal[i])
+                equal[i] = False
+                equal[i, tied[: free[i]]] = True
+            take |= equal
+            score, key = score[take].reshape(len(score), self.k), key[take].reshape(len(score), self.k)
+        self.score, self.key = score, key
+
+    def rows(self, ids: np.ndarray, id_: str = "query_id") -> pd.DataFrame:
+        real = np.isfinite(self.score)
+        return pd.DataFrame({id_: np.repeat(ids, real.sum(1)), "key": self.key[real], "score": self.score[real]})
+
+
+def _scored_together(index: Index, asked: list, types: T.StructType, key: str, scope: DataFrame | None, k: int, k1: float, b: float, mode: str) -> DataFrame:
+    """Best ``k`` of (query_id, phrase, times, ts) rows: documents x phrases times phrases x questions.
+
+    Each document's matches become one row, from which every question is scored at once; a task keeps the best
+    ``k`` of each question, so no pair of a question and a document is ever a row or is shuffled."""
+    spark = index.postings.sparkSession
+    phrases = sorted({r["phrase"]: r["ts"] for r in asked}.items())
+    at = {p: i for i, (p, _) in enumerate(phrases)}
+    named = sorted({t for _, ts in phrases for t in ts})
+    postings = index.postings.where(F.col("term").isin(named)) if len(named) <= NAMED else index.postings
+    matches = _matches(postings, spark.createDataFrame([(at[p], ts) for p, ts in phrases], "phrase int, ts array<string>"), F.broadcast)
+    # read for the frequencies and for the scores
+    docs = cut(matches.groupBy("key").agg(F.first("dl").alias("dl"), F.collect_list("phrase").alias("phrase"), F.collect_list("f").alias("f")), spark)
+    frequency = dict(docs.select(F.explode("phrase").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect())
+    size = index.size.first()
+    ids = sorted({r["query_id"] for r in asked})
+    column = {q: j for j, q in enumerate(ids)}
+    weight, needed = np.zeros((len(phrases), len(ids)), dtype=np.float64), np.zeros(len(ids))
+    for r in asked:
+        n = frequency.get(at[r["phrase"]], 0)
+        weight[at[r["phrase"]], column[r["query_id"]]] = r["times"] * max(math.log(_rarity(size["docs"], n)), 1e-6) if n else 0.0
+        needed[column[r["query_id"]]] += 1
+    shared = spark.sparkContext.broadcast((weight, needed, np.array(ids, dtype=object)))
+    mean, step = size["avgdl"] or 1.0, max(16, 4_000_000 // max(1, len(phrases)))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight, needed, ids = shared.value
+        best = Best(len(ids), k)
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                part = batch.iloc[i : i + step]
+                row = np.repeat(np.arange(len(part)), part["phrase"].map(len))
+                col, f, dl = np.concatenate(part["phrase"].to_numpy()), np.concatenate(part["f"].to_numpy()), part["dl"].to_numpy()[row]
+                found = np.zeros((len(part), len(weight)))
+                found[row, col] = f * (k1 + 1) / (f + k1 * (1 - b + b * dl / mean))
+                met = (found > 0).astype(float) @ (weight > 0)
+                hit = met >= needed if mode == "AND" else met > 0
+                best.add(np.where(hit, np.round(found @ weight, 6), -np.inf).T, part["key"].to_numpy())
+        yield best.rows(ids)
+
+    if scope is not None:
+        docs = docs.join(scope.withColumnRenamed(key, "key"), "key", "left_semi")
+    schema = T.StructType([types["query_id"], T.StructField("key", docs.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+    return docs.mapInPandas(score, schema).withColumnRenamed("key", key)
+
+
 def top_k(scores: DataFrame, k: int, key: str = "rowid", per: str = "query_id") -> DataFrame:
     """``scores`` with ``rank`` from 1, the best ``k`` of each query; equal scores by key."""
     w = Window.partitionBy(per).orderBy(F.desc("score"), F.asc(key))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, scope: DataFrame | None = None, k: int = K_ROUTE, **options) -> DataFrame:
-    """Keyword route: best ``k`` chunks of each query among those in ``scope`` (rowid)."""
-    scores = keyword_scores(chunks, queries, **options)
-    return top_k(scores.join(scope, "rowid", "left_semi") if scope is not None else scores, k)
+def keyword_search(chunks: DataFrame | Index, queries: DataFrame, scope: DataFrame | None = None, k: int = K_ROUTE, key: str = "rowid", columns: Sequence[str] = ("text", "title"), k1: float = 1.2, b: float = 0.75, mode: str = "OR") -> DataFrame:
+    """Keyword route: best ``k`` chunks of each query among those in ``scope`` (key).
+
+    Up to ``ASKED`` phrases of all questions are scored together; more are scored as rows, with equal results."""
+    index = chunks if isinstance(chunks, Index) else Index.over(chunks, key, columns)
+    asked = query_phrases(queries).withColumn("ts", tx.terms(F.col("phrase")))
+    rows = asked.limit(ASKED + 1).collect()
+    if len(rows) <= ASKED and len({r["phrase"] for r in rows}) * len({r["query_id"] for r in rows}) <= 200 * ASKED:
+        return top_k(_scored_together(index, rows, asked.schema, key, scope, k, k1, b, mode), k, key)
+    scores = keyword_scores(index, queries, key, columns, k1, b, mode)
+    return top_k(scores.join(scope, key, "left_semi") if scope is not None else scores, k, key)
 
 
 def normalised(vector: Column) -> Column:
@@ -77,32 +194,98 @@ def normalised(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.greatest(length, F.lit(1e-12)))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = K_ROUTE, key: str = "rowid", block: int = 1024, shard: int = 65536) -> DataFrame:
-    """(query_id, key, score, rank): exact best ``k`` by inner product.
+SLICE = 1024
 
-    ``vectors`` is (key, vector), ``queries`` (query_id, vector).  Vectors are cut into shards and
-    queries into blocks; each pair of a shard and a block is one matrix product of bounded size,
-    and only its best ``k`` per query leave it.
-    """
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard), min(8, n // 512)), max(1, -(-m // block))
-    v = vectors.select(F.col(key).alias("key"), F.col("vector").alias("held"), (F.abs(F.xxhash64(key)) % shards).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = queries.select("query_id", F.col("vector").alias("asked"), (F.abs(F.xxhash64("query_id")) % blocks).cast("int").alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+def _by_cell(v: DataFrame, q: DataFrame, k: int, key: str, block: int, shard: int) -> DataFrame:
+    """Exact best ``k`` of (query_id, asked, cell) among the (key, held, cell) of the same cells.
+
+    A cell of many vectors is cut into shards and its queries into blocks by their hashes, so the rows a task
+    holds are bounded however the cells are filled; of each pair of them only the best ``k`` a query leave it."""
+    sizes = v.groupBy("cell").agg(F.count("*").alias("n")).join(q.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+    sizes = F.broadcast(sizes.select("cell", F.greatest(F.ceil(F.col("n") / shard), F.least(F.lit(8), F.floor(F.col("n") / 512)), F.lit(1)).alias("shards"), F.ceil(F.col("m") / block).alias("blocks")))
+    part = lambda c, n: F.pmod(F.xxhash64(c), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    v = v.join(sizes, "cell").select("key", "held", "cell", part("key", F.col("shards")).alias("s"), every("blocks").alias("b"))
+    q = q.join(sizes, "cell").select("query_id", "asked", "cell", part("query_id", F.col("blocks")).alias("b"), every("shards").alias("s"))
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("key", v.schema["key"].dataType), T.StructField("score", T.DoubleType())])
 
     def best(right: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
         if right.empty or left.empty:  # a shard without vectors or a block without queries
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        right = right.sort_values("key")
-        scores = np.round(np.stack(left["asked"].to_numpy()).astype(float) @ np.stack(right["held"].to_numpy()).astype(float).T, 6)
-        take = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({
-            "query_id": np.repeat(left["query_id"].to_numpy(), take.shape[1]), "key": right["key"].to_numpy()[take].ravel(), "score": np.take_along_axis(scores, take, 1).ravel(),
-        })
-
-    found = v.groupBy("s", "b").cogroup(q.groupBy("s", "b")).applyInPandas(best, "query_id long, key long, score double")
+            return pd.concat([left["query_id"][:0], right["key"][:0], pd.Series(dtype=float, name="score")], axis=1)
+        out, asked, held, keys = [], left["asked"].to_numpy(), right["held"].to_numpy(), right["key"].to_numpy()
+        for i in range(0, len(left), SLICE):  # scores are made for slices of both sides only
+            best = Best(len(asked[i : i + SLICE]), k)
+            for j in range(0, len(right), SLICE):
+                best.add(np.round(np.stack(asked[i : i + SLICE]).astype(float) @ np.stack(held[j : j + SLICE]).astype(float).T, 6), keys[j : j + SLICE])
+            out.append(best.rows(left["query_id"].to_numpy()[i : i + SLICE]))
+        return pd.concat(out)
+
+    found = v.groupBy("cell", "s", "b").cogroup(q.groupBy("cell", "s", "b")).applyInPandas(best, schema)
     return top_k(found.withColumnRenamed("key", key), k, key)
 
 
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = K_ROUTE, key: str = "rowid", block: int = 1024, shard: int = 16384) -> DataFrame:
+    """(query_id, key, score, rank): exact best ``k`` by inner product; ``vectors`` is (key, vector), ``queries``
+    (query_id, vector).  Null vectors take no part."""
+    v = vectors.where("vector is not null").select(F.col(key).alias("key"), F.col("vector").alias("held"), F.lit(0).alias("cell"))
+    q = queries.where("vector is not null").select("query_id", F.col("vector").alias("asked"), F.lit(0).alias("cell"))
+    return _by_cell(v, q, k, key, block, shard)
+
+
+class VectorIndex:
+    """Every vector in the cell of its nearest centre; a search reads the cells nearest to each query and scores
+    their vectors exactly.  The centres come from at most ``sample`` vectors (those of the smallest key hash)."""
+
+    def __init__(self, vectors: DataFrame, key: str = "rowid", cells: int = 64, sample: int = 20_000, rounds: int = 8):
+        self.key, vectors = key, vectors.where("vector is not null").select(F.col(key).alias("key"), "vector")
+        some = [r[0] for r in vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("vector").collect()]
+        self.centres = _centres(np.array(some, dtype=float), cells, rounds) if some else np.zeros((1, 1))
+        self.held = self._near(vectors.withColumnRenamed("vector", "held"), "held", 1)
+        self.sample = some
+
+    def _near(self, df: DataFrame, vector: str, n: int) -> DataFrame:
+        """``df`` with ``cell``, a row for each of the ``n`` cells nearest to its vector."""
+        centres = self.centres
+
+        @F.pandas_udf("array<int>")
+        def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                near = np.stack(b.to_numpy()).astype(float) @ centres.T if len(b) else np.empty((0, 1))
+                yield pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype("int32")), dtype=object)
+
+        return df.withColumn("cell", F.explode(cells(F.col(vector))))
+
+    def search(self, queries: DataFrame, k: int = K_ROUTE, probes: int | None = None, block: int = 1024, shard: int = 16384) -> DataFrame:
+        """(query_id, key, score, rank); ``probes`` cells a query, by default as many as :meth:`probes_for` asks."""
+        q = self._near(queries.where("vector is not null").select("query_id", F.col("vector").alias("asked")), "asked", probes or self.probes_for(k))
+        return _by_cell(self.held, q, k, self.key, block, shard)
+
+    def probes_for(self, k: int, recall: float = 0.95, asked: int = 200) -> int:
+        """The fewest cells that hold ``recall`` of the true best ``k``, measured within the sample by brute force."""
+        x = np.array(self.sample)
+        if len(x) <= k:
+            return len(self.centres)
+        own = (x @ self.centres.T).argmax(1)
+        scores = x[:asked] @ x.T
+        best = np.argsort(-scores, axis=1)[:, :k]
+        order = np.argsort(np.argsort(-(x[:asked] @ self.centres.T), axis=1), axis=1)
+        place = np.take_along_axis(order, own[best], 1).ravel()
+        return int(np.quantile(place, recall, method="higher")) + 1
+
+
+def _centres(x: np.ndarray, n: int, rounds: int) -> np.ndarray:
+    """``n`` centres of unit length by Lloyd's rounds, begun at rows spread over ``x``; empty cells keep their centre."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    centres = unit(x[np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)])
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, unit(x))
+        centres = np.where((np.bincount(own, minlength=len(centres)) > 0)[:, None], unit(sums), centres)
+    return centres
+
+
 def fuse(routes: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, rowid, score, routes, kw_rank, vec_rank) of (query_id, rowid, route, rank, weight)
     by reciprocal rank fusion; a route of weight 0 still contributes its rows."""
@@ -134,14 +317,15 @@ def year_filter(hits: DataFrame, year_min: int | None = None, year_max: int | No
     return hits
 
 
-def search(chunks: DataFrame, papers: DataFrame, vectors: DataFrame, queries: DataFrame, category: str = "film_motor", tier: str | None = None, year_min: int | None = None, year_max: int | None = None, k: int = K_FINAL) -> DataFrame:
+def search(chunks: DataFrame, papers: DataFrame, vectors: DataFrame, queries: DataFrame, index: Index | None = None, category: str = "film_motor", tier: str | None = None, year_min: int | None = None, year_max: int | None = None, k: int = K_FINAL) -> DataFrame:
     """Final hits of each query: scope and tier before each route's cut, the year after the cut to
-    max(5k, 40) fused rows, so fewer than ``k`` may be left.  ``queries`` is (query_id, query, vector)."""
+    max(5k, 40) fused rows, so fewer than ``k`` may be left.  ``queries`` is (query_id, query, vector); without an
+    ``index`` the texts are tokenised anew."""
     own = papers.where(F.col("category") == category)
     if tier:
         own = own.where(F.col("tier").contains(tier))
     scope = chunks.select("rowid", "file").join(own.select("file"), "file", "left_semi").select("rowid")
-    keyword = keyword_search(chunks, queries, scope)
+    keyword = keyword_search(index or chunks, queries, scope)
     vector = vector_search(vectors.join(scope, "rowid", "left_semi"), queries.where("vector is not null").select("query_id", "vector"))
     cand = in_order(fuse(routed(keyword, vector))).where(F.col("place") <= max(5 * k, 40))
     meta = own.select("file", "year", "tier", F.col("title").alias("paper_title"))

@@ -27,6 +27,15 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("rowid", "file", "page", "text", "title")
 
 
+def _index(s: SparkSession, d: str) -> retrieval.Index:
+    return retrieval.Index.built(table(s, d, "chunks"))
+
+
+def keyword_index(s: SparkSession, d: str) -> DataFrame:
+    """Building the index of terms: how often and in how many segments each term occurs."""
+    return retrieval.Index.over(table(s, d, "chunks")).postings.groupBy("term").agg(F.sum("f").alias("times"), F.count("*").alias("segments"))
+
+
 def _vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("rowid"), F.col("embedding").alias("vector"))
 
@@ -51,11 +60,11 @@ def match_expressions(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_search(_chunks(s, d), _queries(s, d), _scope(s, d)).select("query_id", "rowid", "score", "rank")
+    return retrieval.keyword_search(_index(s, d), _queries(s, d), _scope(s, d)).select("query_id", "rowid", "score", "rank")
 
 
 def bm25_all_words(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_search(_chunks(s, d), _queries(s, d), k=8, mode="AND").select("query_id", "rowid", "score", "rank")
+    return retrieval.keyword_search(_index(s, d), _queries(s, d), k=8, mode="AND").select("query_id", "rowid", "score", "rank")
 
 
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
@@ -63,11 +72,15 @@ def vector_topk(s: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_search(v, v.where("rowid % 100 = 0").select(F.col("rowid").alias("query_id"), "vector"), k=10)
 
 
+def vector_index_topk(s: SparkSession, d: str) -> DataFrame:
+    v = _vectors(s, d)
+    return retrieval.VectorIndex(v).search(v.where("rowid % 100 = 0").select(F.col("rowid").alias("query_id"), "vector"), k=10)
+
+
 def _routes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     q, scope = _queries(s, d), _scope(s, d)
     vec = retrieval.vector_search(_vectors(s, d).join(scope, "rowid", "left_semi"), q.where("vector is not null").select("query_id", "vector"))
-    # the routes' short lists are read several times: computed once
-    return cut(retrieval.keyword_search(_chunks(s, d), q, scope), s), cut(vec, s)
+    return retrieval.keyword_search(_index(s, d), q, scope), vec
 
 
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
@@ -76,7 +89,7 @@ def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
 
 
 def _search(s: SparkSession, d: str, **options) -> DataFrame:
-    hits = retrieval.search(_chunks(s, d), _papers(s, d), _vectors(s, d), _queries(s, d), **options)
+    hits = retrieval.search(_chunks(s, d), _papers(s, d), _vectors(s, d), _queries(s, d), _index(s, d), **options)
     return hits.select("query_id", "rowid", F.round("score", 6).alias("score"), "kw_rank", "vec_rank", "final_rank")
 
 
@@ -300,7 +313,7 @@ def weight_sweep(s: SparkSession, d: str) -> DataFrame:
 
 
 def eval_nomination(s: SparkSession, d: str) -> DataFrame:
-    kw = retrieval.keyword_search(_chunks(s, d), _queries(s, d), k=40)
+    kw = retrieval.keyword_search(_index(s, d), _queries(s, d), k=40)
     return evaluate.nominate(kw, _chunks(s, d), _gold(s, d)).select("query_id", "file", "rank", "kept")
 
 
@@ -317,14 +330,14 @@ def learn_overlap(s: SparkSession, d: str) -> DataFrame:
     nodes = tree.nodes(s)
     asked = tree.leaves(nodes).select((-F.col("ord")).cast("long").alias("query_id"), F.col("q").alias("query"))
     q = _queries(s, d).select("query_id", "query").unionByName(asked)
-    hits = cut(retrieval.keyword_search(_chunks(s, d), q, _scope(s, d), k=25), s).join(_chunks(s, d).select("rowid", "file"), "rowid")
+    hits = retrieval.keyword_search(_index(s, d), q, _scope(s, d), k=25).join(_chunks(s, d).select("rowid", "file"), "rowid")
     by_node = hits.where("query_id < 0").withColumn("ord", (-F.col("query_id")).cast("int")).join(nodes.select("ord", "id"), "ord").select("id", "file")
     return tree.focus(hits.where("query_id >= 0").select("query_id", "file", "rank"), by_node, nodes).withColumn("score", F.round("score", 6))
 
 
 def learn_papers(s: SparkSession, d: str) -> DataFrame:
     nodes = tree.leaves(tree.nodes(s)).select(F.col("ord").cast("long").alias("query_id"), F.concat("q", F.lit(" film motor")).alias("query"))
-    kw = retrieval.keyword_search(_chunks(s, d), nodes, _scope(s, d), k=12)
+    kw = retrieval.keyword_search(_index(s, d), nodes, _scope(s, d), k=12)
     return evaluate.to_papers(kw, _chunks(s, d), place="rank").where("rank <= 3")
 
 
@@ -350,7 +363,7 @@ def map_labels(s: SparkSession, d: str) -> DataFrame:
 
 
 def build_context(s: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.keyword_search(_chunks(s, d), _queries(s, d), _scope(s, d), k=8)
+    hits = retrieval.keyword_search(_index(s, d), _queries(s, d), _scope(s, d), k=8)
     meta = _papers(s, d).drop("title", "ingested_at")
     return retrieval.context_block(hits.select("query_id", "rowid", F.col("rank").alias("n")).join(_chunks(s, d), "rowid").join(meta, "file"))
 
@@ -379,7 +392,7 @@ def region_revenue(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy("r_name", "year").agg(F.round(F.sum("rev"), 2).alias("revenue"), F.count("*").alias("lines"))
 
 
-_NAMES = """tokenize_counts match_expressions bm25_topk bm25_all_words vector_topk rrf_fusion hybrid_search scoped_tiered_search preview_highlight preview_all_words paper_segments
+_NAMES = """tokenize_counts match_expressions keyword_index bm25_topk bm25_all_words vector_topk vector_index_topk rrf_fusion hybrid_search scoped_tiered_search preview_highlight preview_all_words paper_segments
 corpus_stats tier_histogram category_rollup timeline author_stats top_authors institution_stats country_stats overview_totals top_cited unit_normalise metric_stats point_counters title_like
 watermark_strip noise_clean chunk_documents catalog_merge three_vote_classify pending_ingest upsert_latest replace_and_update vector_reuse vector_norms embed_inputs embedding_cost first_chunk
 candidate_segments json_extract_rows extraction_fields extraction_summary retrieval_metrics mode_compare hybrid_gain weight_sweep eval_nomination tree_outline tree_leaves learn_overlap learn_papers

@@ -120,6 +120,8 @@ SQL: dict[str, str] = {
     "chunk_documents": f"with recursive source as (select doc_id as id, text from documents), {_CLEAN}, {_CHUNKS} select id as doc_id, chunk_no, chunk from chunk",
     "tokenize_counts": f"select doc_id, len(t) as tokens, len(list_distinct(t)) as different from (select doc_id, {_tokens('text')} as t from documents)",
     "match_expressions": f"select doc_id, case when len(t) > 0 then array_to_string(list_transform(t, lambda x: '\"' || x || '\"'), ' OR ') end as expression from (select doc_id, {_tokens('title')} as t from documents)",
+    "keyword_index": f"""with d as (select rowid, list_concat({_terms('text')}, {_terms('title')}) as ts from chunks), o as (select rowid, unnest(ts) as term from d)
+        select term, count(*) as times, count(distinct rowid) as segments from o group by term""",
     "bm25_topk": f"{ALL} select query_id, rowid, score, rank from kw",
     "bm25_all_words": f"""with {PAPERS}, {QUERY}, {BM25}, full_q as (select query_id, count(*) as a from qt group by 1)
         select query_id, rowid, score, rank from (select *, row_number() over (partition by query_id order by score desc, rowid) as rank from bm join full_q using (query_id) where met = a) where rank <= 8""",

@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[tuple, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` below ``sf_dir`` (one Parquet file or folder)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table ``name`` below ``sf_dir`` (one Parquet file or folder).
+
+    Its schema is read from the files once, until they change, so a plan over many tables does not begin with a job for each."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = (path, *changed(spark, path))
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
+
+
+def changed(spark: SparkSession, path: str) -> tuple:
+    """Length and time of change of a file or folder; nothing where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(p):
+        return ()
+    status = files.getFileStatus(p)
+    return status.getLen(), status.getModificationTime()
 
 
 def with_columns(df: DataFrame, **defaults) -> DataFrame:
