@@ -9,10 +9,12 @@ Kinds of noise found per line: words broken to fit the line (``hyphen``), misrea
   are not among those are joined to the counts of the others, by the word, its skeleton and the
   skeleton less one character, and each text is judged with the rare words it asked for.
 * Misread words: scanners confuse characters that look alike.  Every word is written in a skeleton
-  alphabet in which such characters are equal; the vocabulary's skeletons form a trie, and the
-  Levenshtein automaton of a word's skeleton is intersected with the trie, which retrieves all
-  vocabulary words within the bound.  Candidates are ranked by edits, then by the neighbouring
-  words, then by frequency; a candidate must be far more frequent than the spelling it explains.
+  alphabet in which such characters are equal; the vocabulary's skeletons form a trie and its words
+  another, and the Levenshtein automaton of a spelling is intersected with both, which retrieves all
+  vocabulary words within the bound: look-alikes first, then any one letter put in, left out or
+  replaced.  A candidate must be far more frequent than the spelling it explains, the more so the
+  shorter the word; other forms of a word are no candidates.  Candidates are ranked by edits, then by the
+  neighbouring words, then by frequency.
 * Broken words: the halves around page furniture are joined and looked up with and without the
   hyphen; the more frequent spelling decides whether the sign belongs to the word.
 * Page furniture: a line that repeats the paper's title (whole, or its beginning after names), that
@@ -41,10 +43,13 @@ from tarnwood.session import cut
 
 #: A vocabulary word has at least so many occurrences; so many words are broadcast.
 LEAST, MOST_WORDS = 3, 100_000
-#: A pair of neighbours is at least this share of all words (and three occurrences).
-SHARE = 1e-6
-#: A spelling is a misreading only if the word it stands for is this many times as frequent.
-TIMES = 16
+#: Pairs of neighbouring words up to which their counts are broadcast; beyond, each text is joined to those it asks for.
+PAIRS = 200_000
+#: A spelling is a misreading only if the word it stands for is this many times as frequent; one that is a word of
+#: the vocabulary itself is the misreading of another letter only if that word is FAR times as frequent.
+TIMES, FAR = 16, 4096
+#: Lines of an unrecognised figure or table that may stand between the halves of a word, with the line of the second half.
+BETWEEN = 6
 BREAKS = "-‐‑¬­"
 FACT_ROWS = 1_000_000
 
@@ -58,6 +63,7 @@ _OUTER = ".,;:()[]{}\"'“”‘’«»!?…–—"
 _PLAIN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]")
 _BROKEN = re.compile(rf"[{BREAKS}][^\S\n]*\n\s*")
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _DIGITS = str.maketrans("OoIlSsBZ|/", "0011558217")
 
 
@@ -71,6 +77,24 @@ def core(token: str) -> str:
     return t[:-2] if t.endswith(("'s", "’s")) else t
 
 
+def form_of(a: str, b: str) -> bool:
+    """Whether two words one letter apart may be forms or spellings of one word: an ending more or another
+    ending, a- or e- before it, a consonant doubled before an ending, s or z, or or our, e or ae."""
+    p = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        return p == len(a) - 1 and {a[p], b[p]} <= set("sdrny") or {a[p], b[p]} == {"s", "z"}
+    long = max(a, b, key=len)
+    if p in (0, len(long) - 1):
+        return long[p] in ("ae" if p == 0 else "sdrny")
+    return long[p] == long[p - 1] and long[p] in "lpst" and long[p + 1] in "ei" or long[p - 1 : p + 2] == "our" or long[p - 1 : p + 1] == "ae" or long[p : p + 2] == "ae"
+
+
+def reach_of(token: str) -> str:
+    """How far candidates may lie from a token as it stands in a text: ``name`` where it may be a name, else ``word``."""
+    t = token.strip(_OUTER)
+    return "name" if t[:1].isupper() and not t.isupper() else "word"
+
+
 class Trie:
     """Words by skeleton, searched with a Levenshtein automaton."""
 
@@ -100,9 +124,12 @@ class Trie:
             ends = [e + n - i for i, e in states.items() if e + n - i <= k]
             if ends and "" in node:
                 out += [(min(ends), w) for w in node[""]]
-            for c, child in node.items():
-                if c == "":
-                    continue
+            # a state without edits left goes on with its own letter only
+            if min(states.values()) < k:
+                ways = [(c, child) for c, child in node.items() if c]
+            else:
+                ways = [(c, node[c]) for c in {key[i] for i in states if i < n} if c in node]
+            for c, child in ways:
                 nxt: dict[int, int] = {}
                 for i, e in states.items():
                     if i < n:
@@ -128,63 +155,73 @@ class Lexicon:
     def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int] | None = None):
         self.counts, self.pairs = counts, pairs or {}
         self.source = None
-        self.trie = Trie()
+        self.alike, self.letters = Trie(), Trie()
         heads: Counter = Counter()
         for w, n in counts.items():
             if _PLAIN.fullmatch(w):
-                self.trie.add(skeleton(w), w)
+                self.alike.add(skeleton(w), w)
+                if n >= TIMES:
+                    self.letters.add(w, w)
                 for i, c in enumerate(w):
                     if c == "-":
                         heads[w[:i]] += n
         self.heads = heads
-        self.meant: dict[str, list[tuple[int, str]]] = {}
+        self.meant: dict[tuple[str, str], list[tuple[int, str]]] = {}
         self.bad: dict[str, str] = {}
         self.good: set[str] = set()
         self.sure: set[str] = set()
 
-    def candidates(self, word: str) -> list[tuple[int, str]]:
-        """(edits, vocabulary word) that a spelling may stand for; empty if it stands for itself."""
-        got = self.meant.get(word)
+    def candidates(self, word: str, reach: str = "word") -> list[tuple[int, str]]:
+        """(edits, vocabulary word) that a spelling may stand for, the likeliest first; empty if it stands for itself.
+
+        ``reach`` is ``alike`` for look-alike characters, ``word`` for any letter, ``name`` for any letter of
+        what may be a name, which asks for more evidence."""
+        got = self.meant.get((word, reach))
         if got is None:
             if len(self.meant) > 500_000:
                 self.meant.clear()
-            got = self.meant[word] = self._candidates(word)
+            got = self.meant[(word, reach)] = self._candidates(word, reach)
         return got
 
-    def _candidates(self, word: str) -> list[tuple[int, str]]:
-        if len(word) < 2 or len(_LETTERS.findall(word)) < 2 or len(word) > 64:
+    def _candidates(self, word: str, reach: str) -> list[tuple[int, str]]:
+        if len(_LETTERS.findall(word)) < 2:
             return []
-        own, key = self.counts.get(word, 0), skeleton(word)
+        own, key, plain = self.counts.get(word, 0), skeleton(word), _PLAIN.fullmatch(word) is not None
         enough = TIMES * max(1, own)
-        near = [(e, w) for e, w in self.trie.within(key, 0) if w != word and self.counts[w] >= enough]
-        if not near and own == 0 and len(word) >= 5 and not _PLAIN.fullmatch(word) and "." not in word:
-            near = [(e, w) for e, w in self.trie.within(key, 1) if self.counts[w] >= enough and len(w) >= 4]
+        near = [(e, w) for e, w in self.alike.within(key, 0) if w != word and self.counts[w] >= enough]
+        if not near and not plain and len(word) >= 5 and "." not in word:
+            near = [(e, w) for e, w in self.alike.within(key, 1) if self.counts[w] >= enough and len(w) >= 4]
+        if not near and plain and reach != "alike" and len(word) > 2 and not _CJK.search(word):
+            n = len(word)
+            enough = max(FAR * own, TIMES * (1 if n >= 7 else 4 if n >= 5 else 64)) * (TIMES if reach == "name" else 1)
+            near = [(e, w) for e, w in self.letters.within(word, 1) if e and self.counts[w] >= enough and not form_of(word, w)]
         if not near and "-" in word and own == 0:
             parts = [p for p in word.split("-") if p]
-            read = [(p, self.candidates(p)) for p in parts]
-            if any(c for _, c in read) and all(c or self.counts.get(p, 0) >= 3 for p, c in read):
+            read = [(p, self.candidates(p, "alike")) for p in parts]
+            if any(c for _, c in read) and all(c or self.counts.get(p, 0) >= LEAST for p, c in read):
                 near = [(sum(min(c)[0] for _, c in read if c), "-".join(min(c, key=self._rank)[1] if c else p for p, c in read))]
         return sorted(near, key=self._rank)
 
     def _rank(self, c: tuple[int, str]) -> tuple[int, int, str]:
         return c[0], -self.counts.get(c[1], 0), c[1]
 
-    def best(self, word: str, left: str = "", right: str = "") -> str | None:
+    def tied(self, word: str, reach: str = "word") -> list[str]:
+        """The candidates of least edits."""
+        near = self.candidates(word, reach)
+        return [w for e, w in near if e == near[0][0]]
+
+    def best(self, word: str, left: str = "", right: str = "", reach: str = "word") -> str | None:
         """The likeliest candidate between its neighbours, or None."""
-        near = self.candidates(word)
-        if not near:
-            return None
-        least = near[0][0]
-        tied = [w for e, w in near if e == least]
-        if len(tied) == 1 or not self.pairs:
-            return tied[0]
+        tied = self.tied(word, reach)
+        if len(tied) < 2 or not self.pairs:
+            return tied[0] if tied else None
         context = lambda w: self.pairs.get((left, w), 0) + self.pairs.get((w, right), 0)
         return max(tied, key=lambda w: (context(w), self.counts.get(w, 0), w))
 
     def known(self, word: str) -> int:
         """How frequent a spelling is, or the word it is misread from."""
         n = self.counts.get(word, 0)
-        near = self.candidates(word)
+        near = self.candidates(word, "alike")
         return self.counts.get(near[0][1], 1) if near else n
 
     def misread(self, tokens: set[str]) -> dict[str, str]:
@@ -193,7 +230,7 @@ class Lexicon:
         for t in tokens - self.good:
             w = self.bad.get(t)
             if w is None:
-                near = self.candidates(core(t))
+                near = self.candidates(core(t), reach_of(t))
                 if not near:
                     self.good.add(t)
                     continue
@@ -201,34 +238,46 @@ class Lexicon:
             found[t] = w
         if len(self.good) > 1_000_000:
             self.good.clear()
+        if len(self.bad) > 1_000_000:
+            self.bad.clear()
         return found
 
 
+class Both:
+    """Two tries asked as one."""
+
+    def __init__(self, one: Trie, other: Trie):
+        self.one, self.other = one, other
+
+    def within(self, key: str, k: int) -> list[tuple[int, str]]:
+        return self.one.within(key, k) + self.other.within(key, k)
+
+
 class Local(Lexicon):
-    """A lexicon with the rare words that one text asks for.  A word of the base is more frequent
-    than any of them, so the base answers for it."""
+    """A lexicon with the rare words that one text asks for and, where they are not broadcast, its pairs of
+    neighbours.  A word of the base is more frequent than any rare one, so the base answers for it."""
 
-    def __init__(self, base: Lexicon, rare: dict[str, int]):
-        self.base, self.pairs, self.rare = base, base.pairs, Trie()
+    def __init__(self, base: Lexicon, rare: dict[str, int], pairs: dict[tuple[str, str], int] | None = None):
+        self.base, self.pairs = base, base.pairs if pairs is None else pairs
         words = {w: n for w, n in rare.items() if not w.endswith("-")}
         self.counts = ChainMap(words, base.counts)
         self.heads = ChainMap({w[:-1]: n for w, n in rare.items() if w.endswith("-")}, base.heads)
-        for w in words:
-            self.rare.add(skeleton(w), w)
-        self.trie = self
+        alike, letters = Trie(), Trie()
+        for w, n in words.items():
+            alike.add(skeleton(w), w)
+            if n >= TIMES:
+                letters.add(w, w)
+        self.alike, self.letters = Both(base.alike, alike), Both(base.letters, letters)
         self.meant, self.bad, self.good = {}, {}, set()
 
-    def within(self, key: str, k: int) -> list[tuple[int, str]]:
-        return self.base.trie.within(key, k) + self.rare.within(key, k)
-
-    def candidates(self, word: str) -> list[tuple[int, str]]:
-        return self.base.candidates(word) if word in self.base.counts else super().candidates(word)
+    def candidates(self, word: str, reach: str = "word") -> list[tuple[int, str]]:
+        return self.base.candidates(word, reach) if word in self.base.counts else super().candidates(word, reach)
 
     def misread(self, tokens: set[str]) -> dict[str, str]:
         rest, sure = set(), self.base.sure
         for t in tokens - sure:
             w = core(t)
-            if w in self.base.counts and not self.base.candidates(w):
+            if w in self.base.counts and not self.base.candidates(w, reach_of(t)):
                 sure.add(t)
             else:
                 rest.add(t)
@@ -247,7 +296,7 @@ class Asked:
         self.counts, self.heads = self, _Heads(self)
 
     def note(self, word: str) -> None:
-        if word not in self.frequent and len(word) <= 64 and _LETTERS.search(word):
+        if word not in self.frequent and _LETTERS.search(word):
             self.words.add(word)
             if "-" in word:
                 self.words.update(p for p in word.split("-") if p and p not in self.frequent)
@@ -260,9 +309,12 @@ class Asked:
         self.note(word)
         return 0
 
-    def best(self, word: str, left: str = "", right: str = "") -> None:
+    def best(self, word: str, left: str = "", right: str = "", reach: str = "word") -> None:
         self.note(word)
 
+    def candidates(self, word: str, reach: str = "word") -> list:
+        return []
+
     def misread(self, tokens: set[str]) -> dict[str, str]:
         for t in tokens - self.sure:
             w = core(t)
@@ -280,8 +332,7 @@ class _Heads:
         self.asked = asked
 
     def get(self, word: str, _: int = 0) -> int:
-        if len(word) <= 64:
-            self.asked.words.add(word + "-")
+        self.asked.words.add(word + "-")
         return 1
 
 
@@ -336,11 +387,11 @@ def repeats_title(line: str, titles: list[list[str]]) -> bool:
         return False
     s = _SIDE.sub("", s)
     words = [skeleton(w) for w in _WORDS.findall(s)]
-    if not 2 <= len(words) <= 24:
+    if len(words) < 2:
         return False
     for title in titles:
         n, first = len(title), title[0]
-        for i, w in enumerate(words[:12]):
+        for i, w in enumerate(words):
             if w == first:
                 rest = words[i:]
                 if rest == title[: len(rest)] and (len(rest) >= 3 or len(rest) == n) and (i == 0 or re.search(r"[:\-–—/|)]\s", s)):
@@ -351,11 +402,17 @@ def repeats_title(line: str, titles: list[list[str]]) -> bool:
     return False
 
 
-def interrupts(lines: list[str], i: int) -> bool:
-    """Whether a line may be a running head by its looks: it begins like a title, ends like
-    none of the text, and stands at an edge or after a line that ends within a sentence."""
+def page_width(lines: list[str]) -> float:
+    """How long a printed line of a text may be: a little over nine of ten of its lines."""
+    lengths = sorted(len(x) for x in lines if x.strip())
+    return 1.1 * lengths[int(len(lengths) * 0.9)] if lengths else 0.0
+
+
+def interrupts(lines: list[str], i: int, width: float) -> bool:
+    """Whether a line may be a running head by its looks: it fits the page, begins like a title, ends
+    like none of the text, and stands at an edge or after a line that ends within a sentence."""
     s = lines[i].strip()
-    if not 8 <= len(s) <= 100 or not (s[0].isupper() or s[0].isdigit()) or s[-1] in ".,;:":
+    if not 8 <= len(s) <= width or not (s[0].isupper() or s[0].isdigit()) or s[-1] in ".,;:":
         return False
     before = next((x.strip() for x in lines[i - 1 :: -1] if x.strip()), "") if i else ""
     return not before or i == len(lines) - 1 or before[-1] not in ".:!?。"
@@ -434,13 +491,13 @@ def furniture(lines: list[str], facts: Facts, page: str | None) -> dict[int, str
                 out[i] = "pageno"
     for i, x in enumerate(lines):
         s = x.strip()
-        if len(s) < 6 or len(s) > 140 or s[-1] in ".,;。" or i in out:
+        if len(s) < 6 or s[-1] in ".,;。" or i in out:
             continue
         # heads begin with a capital or a number, or with what a capital is misread as
         c = s[0]
         if not (c.isupper() or c.isdigit() or c in "|[€@" or s[:2] in ("cl", "li", "rn", "ri", "vv", "ii")):
             continue
-        if repeats_title(s, facts.titles) or "(" in s and _ISSUE.fullmatch(s) or ("ol" in s or "o1" in s or "No" in s) and _VOLUME.fullmatch(s) and interrupts(lines, i) or facts.is_head(s):
+        if repeats_title(s, facts.titles) or "(" in s and _ISSUE.fullmatch(s) or ("ol" in s or "o1" in s or "No" in s) and _VOLUME.fullmatch(s) and interrupts(lines, i, page_width(lines)) or facts.is_head(s):
             out[i] = "header"
     return out
 
@@ -465,7 +522,7 @@ def broken(lines: list[str], i: int, skip: dict[int, str], lexicon: Lexicon) ->
         return None
     first, tried = None, 0
     for j in range(i + 1, len(lines)):
-        if tried == 6:
+        if tried == BETWEEN:
             break
         words = lines[j].split()
         if not words or j in skip:
@@ -496,7 +553,7 @@ def broken(lines: list[str], i: int, skip: dict[int, str], lexicon: Lexicon) ->
 def analyse(text: str, facts: Facts, page: str | None, lexicon: Lexicon) -> tuple[list[str], dict[int, str], dict[int, tuple[bool, int, str]], dict[int, dict[int, str]]]:
     """(lines, furniture, breaks, misread words by line and place)."""
     lines = text.split("\n")
-    skip = furniture(lines, facts, page) if len(lines) > 1 or len(text) < 140 else {}
+    skip = furniture(lines, facts, page)
     breaks: dict[int, tuple[bool, int, str]] = {}
     second: set[int] = set()
     wrong: dict[int, dict[int, str]] = {}
@@ -505,7 +562,7 @@ def analyse(text: str, facts: Facts, page: str | None, lexicon: Lexicon) -> tupl
             breaks[i] = got
             if got[1] >= 0:
                 second.add(got[1])
-                meant = lexicon.best(got[2])
+                meant = lexicon.best(got[2], reach="alike")
                 if meant:  # the half that differs from the word holds the misread character
                     a = x.rstrip().split()[-1].lstrip(_OUTER)[:-1].lower()
                     hit = False
@@ -524,9 +581,13 @@ def analyse(text: str, facts: Facts, page: str | None, lexicon: Lexicon) -> tupl
             words = x.split()
             for k, w in enumerate(words):
                 if w in bad and not (k == 0 and i in second) and not (k == len(words) - 1 and i in breaks):
+                    # a text may begin or end within a word
+                    edge = i == k == 0 or i == len(lines) - 1 and k == len(words) - 1
+                    if edge and not lexicon.candidates(core(w), "alike"):
+                        continue
                     left = core(words[k - 1]) if k else ""
                     right = core(words[k + 1]) if k + 1 < len(words) else ""
-                    wrong.setdefault(i, {})[k] = lexicon.best(core(w), left, right) or bad[w]
+                    wrong.setdefault(i, {})[k] = lexicon.best(core(w), left, right, reach_of(w)) or bad[w]
     return lines, skip, breaks, wrong
 
 
@@ -578,7 +639,7 @@ def repaired(text: str, facts: Facts, page: str | None, lexicon: Lexicon) -> str
             words = words[1:]
         if i in breaks and breaks[i][1] >= 0:
             sign_out, j, whole = breaks[i]
-            word = lexicon.best(whole) or whole
+            word = lexicon.best(whole, reach="alike") or whole
             tail = lines[j].split()[0]
             tail = tail[len(tail.rstrip(_OUTER)) :] if not tail.endswith(tuple(BREAKS)) else ""
             if words:
@@ -597,27 +658,32 @@ def repaired(text: str, facts: Facts, page: str | None, lexicon: Lexicon) -> str
     return "\n\n".join(out)
 
 
+#: Characters read and entries counted after which a task hands on what it has counted.
+FLUSH_CHARS, FLUSH_ROWS = 200_000_000, 1_000_000
+
+
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
+    read = 0
 
     def emit() -> pd.DataFrame:
         words: Counter = Counter()
-        total = sum(counts.values())
         for t, n in counts.items():
-            if len(t) <= 64:
-                w = core(t)
-                if _PLAIN.fullmatch(w):
-                    words[w] += n
+            w = core(t)
+            if _PLAIN.fullmatch(w):
+                words[w] += n
         counts.clear()
-        return pd.DataFrame({"word": ["", *words], "n": [total, *words.values()]})
+        return pd.DataFrame({"word": [*words], "n": [*words.values()]})
 
     for batch in batches:
         for t in batch["text"]:
             if t:
                 # halves of broken words stay one token that is no plain word
                 counts.update((_BROKEN.sub("\x00", t) if "\n" in t else t).split())
-        if len(counts) > 1_000_000:
+                read += len(t)
+        if len(counts) > FLUSH_ROWS or read > FLUSH_CHARS:
             yield emit()
+            read = 0
     yield emit()
 
 
@@ -625,7 +691,7 @@ def vocabulary(df: DataFrame, text: str) -> tuple[dict[str, int], DataFrame | No
     """The most frequent words of the vocabulary with their counts (at most ``MOST_WORDS``), and (word, n)
     of the others, None if there are no others."""
     counted = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(_count_words, "word string, n long")
-    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")), df.sparkSession).where((F.col("word") != "") & (F.col("n") >= LEAST))
+    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")), df.sparkSession).where(F.col("n") >= LEAST)
     rows = counted.orderBy(F.desc("n")).limit(MOST_WORDS + 1).collect()
     if len(rows) <= MOST_WORDS:
         return {r["word"]: r["n"] for r in rows}, None
@@ -633,8 +699,13 @@ def vocabulary(df: DataFrame, text: str) -> tuple[dict[str, int], DataFrame | No
     return {r["word"]: r["n"] for r in rows if r["n"] >= floor}, counted.where(F.col("n") < floor)
 
 
-def _less_one(key: str) -> set[str]:
-    return {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))}
+def _near_keys(word: str) -> set[str]:
+    """Keys of which words within one edit share one: the word less any one letter; of long words, whose keys
+    would be many, the halves before and after the edit."""
+    n = len(word)
+    if n <= 64:
+        return {word, *(word[:i] + word[i + 1 :] for i in range(n))}
+    return {k for h in (n // 2, (n - 1) // 2) for k in ("^" + word[:h], "$" + word[n - h :])} | {word[:i] + word[i + 1 :] for i in range(n) if n == 65}
 
 
 def _asked_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -644,8 +715,10 @@ def _asked_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.append(("=" + w, w))
             if not w.endswith("-"):
                 out.append(("0" + skeleton(w), w))
-                if len(w) >= 5 and not _PLAIN.fullmatch(w) and "." not in w:
-                    out += [("1" + k, w) for k in _less_one(skeleton(w))]
+                if _PLAIN.fullmatch(w):
+                    out += [("2" + k, w) for k in _near_keys(w) if len(w) > 2 and not _CJK.search(w)]
+                elif len(w) >= 5 and "." not in w:
+                    out += [("1" + k, w) for k in _near_keys(skeleton(w))]
         yield pd.DataFrame(out, columns=["key", "word"])
 
 
@@ -656,8 +729,9 @@ def _rare_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.append(("=" + w, w, n))
             if n >= TIMES and not w.endswith("-"):
                 out.append(("0" + skeleton(w), w, n))
+                out += [("2" + k, w, n) for k in _near_keys(w)]
                 if len(w) >= 4:
-                    out += [("1" + k, w, n) for k in _less_one(skeleton(w))]
+                    out += [("1" + k, w, n) for k in _near_keys(skeleton(w))]
         yield pd.DataFrame(out, columns=["key", "rare", "n"])
 
 
@@ -686,45 +760,49 @@ def _with_rare(rows: DataFrame, rare: DataFrame, words) -> DataFrame:
     return rows.join(found, "id", "left").drop("id")
 
 
-def ambiguous(counts: dict[str, int]) -> set[str]:
-    """Vocabulary words that look alike and are both too frequent for one to be a misreading."""
-    groups: dict[str, list[str]] = {}
-    for w in counts:
-        if len(w) > 1 and _PLAIN.fullmatch(w):
-            groups.setdefault(skeleton(w), []).append(w)
-    out: set[str] = set()
-    for g in groups.values():
-        most = max(counts[w] for w in g)
-        real = [w for w in g if counts[w] * TIMES > most]
-        out.update(real if len(real) > 1 else [])
-    return out
+def _asked_pairs(rows: DataFrame, words) -> DataFrame:
+    """(id, a, b): the pairs of neighbours that tell the candidates of a misread word apart, for each text with such a word."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = _lexicon(words)
+        for batch in batches:
+            out = []
+            for (_, t, p, facts), own, i in zip(_rows(batch), _locals(batch, lexicon), batch["id"], strict=True):
+                lines, _, _, wrong = analyse(t, facts, p, own)
+                for at in wrong:
+                    tokens = lines[at].split()
+                    for k in wrong[at]:
+                        tied = own.tied(core(tokens[k]), reach_of(tokens[k])) if k >= 0 else ()
+                        if len(tied) > 1:
+                            out += [(i, core(tokens[k - 1]), w) for w in tied if k]
+                            out += [(i, w, core(tokens[k + 1])) for w in tied if k + 1 < len(tokens)]
+            yield pd.DataFrame(out, columns=["id", "a", "b"])
 
+    return rows.mapInPandas(ask, "id long, a string, b string").distinct()
 
-def neighbours(df: DataFrame, text: str, words: set[str], total: int) -> dict[tuple[str, str], int]:
-    """How often each of ``words`` stands after or before another word, as (left, right) pairs of at
-    least ``SHARE`` of all words, which bounds their number."""
+
+def pair_counts(texts: DataFrame, wanted: set[tuple[str, str]] | None) -> DataFrame:
+    """(a, b, n): how often two words stand side by side in ``texts`` (text), for ``wanted`` pairs or for all."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs: Counter = Counter()
         for batch in batches:
             for t in batch["text"]:
-                tokens = t.split()
-                if not words.isdisjoint(tokens):
-                    for i, w in enumerate(tokens):
-                        if w in words:
-                            if i:
-                                pairs[(core(tokens[i - 1]), w)] += 1
-                            if i + 1 < len(tokens):
-                                pairs[(w, core(tokens[i + 1]))] += 1
-        yield pd.DataFrame([(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"])
+                cores = [core(x) for x in t.split()]
+                near = zip(cores, cores[1:], strict=False)
+                pairs.update(near if wanted is None else (p for p in near if p in wanted))
+            if len(pairs) > FLUSH_ROWS:
+                yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["a", "b", "n"])
+                pairs.clear()
+        yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["a", "b", "n"])
 
-    counted = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(count, "a string, b string, n long")
-    rows = counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(total * SHARE))).collect()
-    return {(r["a"], r["b"]): r["n"] for r in rows}
+    return texts.mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _page_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     facts: Counter = Counter()
+    rows = lambda: pd.DataFrame([(*k, n) for k, n in facts.items()], columns=["file", "kind", "key", "n"])
+    read = 0
     for batch in batches:
         for file, page, text in zip(batch["file"], batch["page"], batch["text"], strict=True):
             if not text or file is None:
@@ -740,10 +818,16 @@ def _page_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for i, (value, _) in numbers.items():
                     if value is not None and i not in cells:
                         facts[(file, "o", str(value - counted))] += 1
-            seen = {head_key(x) for i, x in enumerate(lines) if 8 <= len(x) <= 100 and x[-1] not in ".,;:" and interrupts(lines, i)}
+            width = page_width(lines)
+            seen = {head_key(x) for i, x in enumerate(lines) if len(x) >= 8 and x[-1] not in ".,;:" and interrupts(lines, i, width)}
             for key in seen:
                 facts[(file, "h", key)] += 1
-    yield pd.DataFrame([(*k, n) for k, n in facts.items()], columns=["file", "kind", "key", "n"])
+            read += len(text)
+        if len(facts) > FLUSH_ROWS or read > FLUSH_CHARS:
+            yield rows()
+            facts.clear()
+            read = 0
+    yield rows()
 
 
 def file_facts(df: DataFrame, text: str, file: str, page: str, least: int = 3, share: float = 0.05) -> DataFrame:
@@ -760,17 +844,30 @@ def file_facts(df: DataFrame, text: str, file: str, page: str, least: int = 3, s
     return cut(offset.join(heads, "file", "full_outer").select("file", "offset", "heads"), df.sparkSession)
 
 
-def _prepared(df: DataFrame, key: str, text: str, file: str, page: str, title: str) -> tuple[DataFrame, object]:
+def _prepared(df: DataFrame, key: str, text: str, file: str, page: str, title: str, context: bool = False) -> tuple[DataFrame, object]:
+    """(rows with what is known of their files, broadcast vocabulary); with ``context`` also the counts of the
+    neighbours that tell tied candidates apart, which what is noise does not depend on."""
     spark = df.sparkSession
     counts, rare = vocabulary(df, text)
-    alike = ambiguous(counts)
-    pairs = neighbours(df, text, alike, sum(counts.values())) if alike else {}
-    words = spark.sparkContext.broadcast((counts, pairs))
+    words = spark.sparkContext.broadcast((counts, {}))
     facts = file_facts(df, text, file, page)
     facts = F.broadcast(facts) if facts.limit(FACT_ROWS + 1).count() <= FACT_ROWS else facts
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(page).cast("string").alias("page"), F.col(title).alias("title"))
     rows = rows.join(facts, "file", "left")
-    return rows if rare is None else _with_rare(rows, rare, words), words
+    if rare is not None:
+        rows = _with_rare(rows, rare, words)
+    if context:
+        rows = rows.withColumn("id", F.xxhash64("text"))
+        asked = cut(_asked_pairs(rows, words), spark)
+        wanted = asked.select("a", "b").distinct().limit(PAIRS + 1).collect()
+        texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+        if len(wanted) <= PAIRS:
+            counted = pair_counts(texts, {(r["a"], r["b"]) for r in wanted}).collect() if wanted else []
+            words = spark.sparkContext.broadcast((counts, {(r["a"], r["b"]): r["n"] for r in counted}))
+        else:
+            counted = asked.join(pair_counts(texts, None), ["a", "b"]).groupBy("id").agg(F.collect_set(F.struct("a", "b", "n")).alias("pairs"))
+            rows = rows.join(counted, "id", "left")
+    return rows, words
 
 
 _LEXICONS: dict[int, Lexicon] = {}  # by the broadcast value, which the lexicon keeps alive
@@ -788,8 +885,12 @@ def _lexicon(words) -> Lexicon:
 
 def _locals(batch: pd.DataFrame, lexicon: Lexicon) -> Iterator[Lexicon]:
     """The lexicon of each row."""
-    for rare in batch["rare"] if "rare" in batch else [None] * len(batch):
-        yield lexicon if rare is None else Local(lexicon, {r["rare"]: r["n"] for r in rare})
+    none = [None] * len(batch)
+    for rare, pairs in zip(batch.get("rare", none), batch.get("pairs", none), strict=True):
+        if rare is None and pairs is None:
+            yield lexicon
+        else:
+            yield Local(lexicon, {} if rare is None else {r["rare"]: r["n"] for r in rare}, None if pairs is None else {(r["a"], r["b"]): r["n"] for r in pairs})
 
 
 def _rows(batch: pd.DataFrame) -> Iterator[tuple]:
@@ -825,7 +926,7 @@ def find_noise(df: DataFrame, key: str, text: str, file: str, page: str, title:
 
 def repair(df: DataFrame, key: str, text: str, file: str, page: str, title: str, out: str = "clean") -> DataFrame:
     """(key, out): every text as continuous paragraphs; null stays null."""
-    rows, words = _prepared(df, key, text, file, page, title)
+    rows, words = _prepared(df, key, text, file, page, title, context=True)
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = _lexicon(words)

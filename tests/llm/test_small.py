@@ -1,11 +1,13 @@
 """Edge cases of the operators: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwood.llm import bpe, canonical, edits, mixing, pieces, reading, repeated, scans, variants
+from tarnwood.sources.tables import table
 
 WORDS = "the electrode pitch of the flexible stator was measured with a charge amplifier and the dielectric layer limits the thrust density under dry nitrogen".split()
 
@@ -111,7 +113,57 @@ def test_context_ranks_candidates_that_look_alike():
     counts = {"if": 900, "it": 1000, "fits": 50}
     plain, informed = scans.Lexicon(counts), scans.Lexicon(counts, {("even", "if"): 40, ("if", "the"): 60, ("it", "follows"): 70})
     assert plain.best("lf", "even", "the") == "it" and informed.best("lf", "even", "the") == "if" and informed.best("lf", "", "follows") == "it"
-    assert scans.ambiguous(counts | {"lf": 3}) == {"if", "it"}
+    assert scans.Lexicon(counts | {"lf": 3}).tied("lf") == ["it", "if"]
+
+
+@pytest.mark.parametrize("seen,meant", [("electrcde", "electrode"), ("fricton", "friction"), ("frictizon", "friction"), ("vqltage", "voltage"), ("tbe", "the")])
+def test_misreadings_that_look_like_nothing(seen, meant):
+    lex = scans.Lexicon({"electrode": 100, "thrust": 100, "friction": 100, "voltage": 100, "the": 5000})
+    assert [w for _, w in lex.candidates(seen)] == [meant] and lex.misread({seen}) == {seen: meant}
+    assert lex.candidates(seen, "alike") == [] and lex.best(seen) == meant
+
+
+@pytest.mark.parametrize("word", ["frictions", "thrusts", "thrusted", "athrust", "voltaic", "friktione", "thx", "color", "modeling", "电极电极电极电", "a" * 300])
+def test_other_words_are_no_misreadings(word):
+    assert scans.Lexicon({"thrust": 100, "friction": 100, "voltage": 100, "colour": 100, "modelling": 100, "the": 900, "电极电极电极极": 100}).candidates(word) == []
+
+
+def test_recall_of_random_misreadings(spark, data):
+    """Any letter of any frequent word put in, left out or replaced, whether it looks alike or not."""
+    counts = Counter(w for r in table(spark, data.replace("sf0.001", "sf0.01"), "chunks").where("text is not null").select("text").collect() for w in map(scans.core, r["text"].split()) if scans._PLAIN.fullmatch(w) and w.isascii())
+    lex = scans.Lexicon({w: n for w, n in counts.items() if n >= scans.LEAST})
+    rng = random.Random(3)
+    frequent = sorted(w for w, n in counts.items() if n >= 64 and len(w) >= 5)
+    asked = right = 0
+    for _ in range(4000):
+        w, c = rng.choice(frequent), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        i = rng.randrange(len(w))
+        bad = rng.choice([w[:i] + c + w[i:], w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :]])
+        if bad not in counts:
+            asked += 1
+            right += lex.best(bad) == w
+    assert asked > 3000 and right / asked > 0.9, right / asked
+
+
+def test_neighbours_beyond_the_broadcast_answer_alike(spark, monkeypatch):
+    """``lf`` is read between its neighbours, whether their counts are broadcast or joined to the texts."""
+    plain = "even if the drive stops it follows the film and it follows the stator even if the gap closes " * 20
+    df = spark.createDataFrame([(1, "f", "1", plain + "\neven lf the end", "t"), (2, "f", "2", plain + "\nso lf follows them", "t"), (3, "g", "1", None, None)], "rowid long, file string, page string, text string, title string")
+    one = {r["rowid"]: r["clean"] for r in scans.repair(df, "rowid", "text", "file", "page", "title").collect()}
+    assert "even if the end" in one[1] and "so it follows them" in one[2]
+    monkeypatch.setattr(scans, "PAIRS", 0)
+    assert {r["rowid"]: r["clean"] for r in scans.repair(df, "rowid", "text", "file", "page", "title").collect()} == one
+    monkeypatch.setattr(scans, "MOST_WORDS", 0)
+    assert {r["rowid"]: r["clean"] for r in scans.repair(df, "rowid", "text", "file", "page", "title").collect()} == one
+
+
+def test_keys_of_near_words_meet():
+    rng = random.Random(4)
+    for n in [1, 2, 5, 63, 64, 65, 66, 67, 130]:
+        w = "".join(rng.choices("abcde", k=n))
+        i = rng.randrange(n)
+        for other in (w[:i] + "z" + w[i:], w[:i] + w[i + 1 :], w[:i] + "z" + w[i + 1 :]):
+            assert scans._near_keys(w) & scans._near_keys(other)
 
 
 def test_scan_rows(spark):
