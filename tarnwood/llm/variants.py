@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tarnwood.llm.canonical import fold
-from tarnwood.llm.edits import deletions_of, distance, distance_of
+from tarnwood.llm.edits import deletions, deletions_of, distance, distance_of
 from tarnwood.session import cut
 
 # Values that name nobody.
@@ -46,7 +46,7 @@ DEPARTMENT = frozenset("dept department departement school faculty fac division
 ORGANISATION = """
 university univ u universite universitat universita universidad uni; tech technical technology technological technische tecnologico;
 institute inst institut instituto istituto; polytechnic polytech politechnic poly politecnico polytechnique; laboratory lab labs laboratories laboratoire laboratorium;
-national natl nationale nacional; film films; drive drives; devices device dev devs; academy acad; college coll; center centre ctr; research res; engineering eng engng; science sci sciences;
+national natl nationale nacional; academy acad; college coll; center centre ctr; research res; engineering eng engng; science sci sciences;
 international intl int; association assoc assn; hospital hosp; department dept
 """
 # Words that head a whole organisation, and words that may name a part of one.
@@ -116,17 +116,68 @@ def _organisation_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([organisation_words(v) for v in values], dtype=object)
 
 
-def _edits(length: Column) -> Column:
+#: Words up to which all are held in every task, as an index of deletions; more words are joined.
+MOST_WORDS = 100_000
+NEAR = "array<struct<other:string,edits:int>>"
+
+
+def _allowed(length: int) -> int:
     """Typing errors looked for in a word of this length."""
+    return 2 if length >= 9 else 1 if length >= 5 else 0
+
+
+def _edits(length: Column) -> Column:
     return F.when(length >= 9, 2).when(length >= 5, 1).otherwise(0)
 
 
-def near_words(words: DataFrame, word: str = "word") -> DataFrame:
-    """(word, other, edits) of all pairs of different words within the edits their lengths allow."""
-    keys = words.select(F.col(word).alias("w"), F.explode(deletions_of(F.col(word), _edits(F.length(word)))).alias("d"))
-    pairs = keys.join(keys.withColumnRenamed("w", "o"), "d").where("w <> o").select("w", "o").distinct()
-    pairs = pairs.withColumn("edits", distance_of(F.col("w"), F.col("o")))
-    return pairs.where(F.col("edits") <= F.least(_edits(F.length("w")), _edits(F.length("o")))).select(F.col("w").alias("word"), F.col("o").alias("other"), "edits")
+def near_words(words: DataFrame) -> DataFrame:
+    """(word, other, edits) of all pairs of different words within the edits both lengths allow."""
+    words = words.select("word").distinct()
+    held = words.limit(MOST_WORDS + 1).collect()
+    if len(held) > MOST_WORDS:
+        keys = words.select(F.col("word").alias("w"), F.explode(deletions_of(F.col("word"), _edits(F.length("word")))).alias("d"))
+        pairs = keys.join(keys.withColumnRenamed("w", "o"), "d").where("w <> o").select("w", "o").distinct()
+        pairs = pairs.withColumn("edits", distance_of(F.col("w"), F.col("o")))
+        return pairs.where(F.col("edits") <= F.least(_edits(F.length("w")), _edits(F.length("o")))).select(F.col("w").alias("word"), F.col("o").alias("other"), "edits")
+    shared = words.sparkSession.sparkContext.broadcast([r["word"] for r in held])
+
+    @F.pandas_udf(NEAR)
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        by_key: dict[str, list[str]] = {}
+        for w in shared.value:
+            for d in deletions(w, _allowed(len(w))) if _allowed(len(w)) else ():
+                by_key.setdefault(d, []).append(w)
+        for b in batches:
+            out = []
+            for w in b:
+                k = _allowed(len(w))
+                others = {o for d in deletions(w, k) for o in by_key.get(d, ())} - {w} if k else ()
+                measured = [(o, distance(w, o, min(k, _allowed(len(o))))) for o in others]
+                out.append([{"other": o, "edits": e} for o, e in measured if e <= min(k, _allowed(len(o)))])
+            yield pd.Series(out, dtype=object)
+
+    return words.select("word", F.explode(near("word")).alias("p")).select("word", "p.other", "p.edits")
+
+
+def written_out(keyed: DataFrame, stats: DataFrame) -> DataFrame:
+    """(spelling, bag) with abbreviations of three to five letters and a full stop replaced by a longer word.
+
+    The likelihood of an abbreviation is fitted on the data: in how many of its spellings the name with the longer word
+    in its place is itself a name there.  A spelling takes the word its own name is found with, else the word of
+    most such spellings; without any the abbreviation stays."""
+    dotted = F.array_distinct(F.regexp_extract_all(F.lower("spelling"), F.lit(r"(?U)\b(\p{L}{3,5})\."), F.lit(1)))
+    cases = keyed.select("spelling", "bag", F.explode(F.array_intersect(dotted, "bag")).alias("abbr"))
+    size = F.length("word")
+    heads = F.transform(F.sequence(F.lit(3), F.least(F.lit(5), size - 2)), lambda n: F.substring("word", F.lit(1), n))
+    longs = stats.where(size >= 5).select(F.col("word").alias("long"), "forms", F.explode(heads).alias("abbr"))
+    full = F.array_sort(F.array_distinct(F.concat(F.array_remove("bag", F.col("abbr")), F.array("long"))))
+    agreeing = cases.join(longs, "abbr").select("spelling", "abbr", "long", "forms", full.alias("full")).join(keyed.select(F.col("bag").alias("full")).distinct(), "full", "left_semi")
+    own = cut(agreeing.groupBy("spelling", "abbr").agg(F.max_by("long", F.struct("forms", "long")).alias("own")), keyed.sparkSession)
+    usual = own.groupBy("abbr", F.col("own").alias("long")).agg(F.count("*").alias("n")).groupBy("abbr").agg(F.max_by("long", F.struct("n", "long")).alias("usual"))
+    read = cases.join(own, ["spelling", "abbr"], "left").join(usual, "abbr").select("spelling", "abbr", F.coalesce("own", "usual").alias("long"))
+    read = read.groupBy("spelling").agg(F.collect_list("abbr").alias("out"), F.collect_list("long").alias("put"))
+    bag = F.when(F.col("out").isNull(), F.col("bag")).otherwise(F.array_sort(F.array_distinct(F.concat(F.array_except("bag", "out"), "put"))))
+    return keyed.join(read, "spelling", "left").select("spelling", bag.alias("bag"))
 
 
 def link_organisations(df: DataFrame, name: str, context: str | None = None) -> DataFrame:
@@ -157,6 +208,7 @@ def link_organisations(df: DataFrame, name: str, context: str | None = None) ->
     best = best.join(again, "canon", "left").select("word", F.when(F.col("next") == F.col("word"), F.least("word", "canon")).otherwise(F.coalesce("next", "canon")).alias("canon"))
     read = words.join(best, "word", "left").select("spelling", F.coalesce("canon", "word").alias("canon"))
     keyed = cut(read.groupBy("spelling").agg(F.array_sort(F.collect_set("canon")).alias("bag")), spark)
+    keyed = cut(written_out(keyed, stats), spark)
     # an acronym of three letters or more stands for the phrase with these initials: the
     # phrase is read from spellings in full, in their own order, and must be widespread
     ordered = forms.select("spelling", F.lower("spelling").alias("low")).select("spelling", F.regexp_extract_all("low", F.lit(r"(?U)\p{L}{3,}[\p{L}'.]*"), 0).alias("ws"))
@@ -221,7 +273,7 @@ def link_people(df: DataFrame, name: str) -> DataFrame:
         .join(lean.withColumnsRenamed({"word": "family", "lean": "l2"}), "family", "left")
         .withColumn("turn", F.coalesce("l2", F.lit(1.0)) > F.coalesce("l1", F.lit(1.0)))
     )
-    turned = F.concat(F.array("family"), F.slice("given", 2, 99))
+    turned = F.concat(F.array("family"), F.slice("given", F.lit(2), F.size("given")))
     open_ = open_.select("spelling", "n", F.when(F.col("turn"), F.col("first")).otherwise(F.col("family")).alias("family"), F.when(F.col("turn"), turned).otherwise(F.col("given")).alias("given"))
     read = read.where(F.col("sure") | (F.size("given") == 0)).select("spelling", "n", "family", "given").unionByName(open_)
     read = read.where(F.length("family") > 0).withColumn("first", F.coalesce(first, F.lit("")))
@@ -236,14 +288,18 @@ def link_people(df: DataFrame, name: str) -> DataFrame:
     pairs = near_words(stats.withColumnRenamed("family", "word")).withColumnsRenamed({"word": "family", "other": "o_family"})
     pairs = pairs.join(stats, "family").join(stats.withColumnsRenamed({"family": "o_family", "forms": "o_forms", "n": "o_n"}), "o_family")
     pairs = pairs.where((F.col("o_forms") >= F.when(F.col("edits") == 1, 1).otherwise(6) * F.col("forms") * F.col("forms")) & (F.struct("o_forms", "o_n", "o_family") > F.struct("forms", "n", "family")))
-    persons = read.where(F.length("means") > 0).groupBy("family", "means").agg(F.sum("n").alias("prior"), F.countDistinct("spelling").alias("variety"))
-    initial = F.substring("means", 1, 1)
-    fits = read.select("spelling", "family", "means").join(pairs, "family")
-    bears = persons.select(F.col("family").alias("o_family"), F.col("means").alias("o_means"), F.col("prior").alias("o_prior"))
-    fits = fits.withColumn("i", initial).join(bears.withColumn("i", F.substring("o_means", 1, 1)), ["o_family", "i"])
-    compatible = (F.col("means") == F.col("o_means")) | (F.length("means") == 1) | (F.length("o_means") == 1)
-    score = F.log(F.col("o_forms").cast("double")) - 3 * F.col("edits") + F.when(F.col("means") == F.col("o_means"), 2).otherwise(0)
-    moved = fits.where(compatible).groupBy("spelling").agg(F.max_by("o_family", F.struct(score.alias("s"), "o_prior", "o_family")).alias("moved"))
+    persons = read.where(F.length("means") > 0).groupBy("family", "means").agg(F.sum("n").alias("prior"))
+    # the likeliest compatible person of a family: one of the same given name, else the most frequent one with
+    # the initial where either is only an initial.  Both are equality joins on counted people, one row for each
+    # family and name, so a common surname gathers no rows.
+    asked = read.select("family", "means").distinct().join(pairs, "family").withColumn("i", F.substring("means", 1, 1))
+    same = persons.select(F.col("family").alias("o_family"), "means", F.col("prior").alias("same"))
+    letters = persons.groupBy(F.col("family").alias("o_family"), F.substring("means", 1, 1).alias("i")).agg(F.max("prior").alias("any"), F.max(F.when(F.length("means") == 1, F.col("prior"))).alias("letter"))
+    fits = asked.join(same, ["o_family", "means"], "left").join(letters, ["o_family", "i"], "left")
+    prior = F.coalesce("same", F.when(F.length("means") == 1, F.col("any")).otherwise(F.col("letter")))
+    score = F.log(F.col("o_forms").cast("double")) - 3 * F.col("edits") + F.when(F.col("same").isNotNull(), 2).otherwise(0)
+    best = fits.where(prior.isNotNull() & (F.length("means") > 0)).groupBy("family", "means").agg(F.max(F.struct(score.alias("s"), prior.alias("o_prior"), "o_family")).alias("best"))
+    moved = read.select("spelling", "family", "means").join(best, ["family", "means"]).groupBy("spelling").agg(F.max("best").alias("best")).select("spelling", F.col("best.o_family").alias("moved"))
     read = read.join(moved, "spelling", "left").withColumn("family", F.coalesce("moved", "family")).drop("moved")
     read = cut(read, spark)
 

@@ -449,7 +449,10 @@ def test_mixing_given_total_and_empty(spark):
     t = spark.createDataFrame([("m", "a", 1.0, 2), ("m", "b", 1.0, 1)], "mix_id string, source string, weight double, max_repeats int")
     df = spark.createDataFrame([(i, "a" if i < 5 else "b", 10) for i in range(50)], "doc_id long, source string, tokens long")
     got = {r["source"]: r["tokens"] for r in mixing.mix(df, t, "doc_id", "source", "tokens", total=600)[1].collect()}
-    assert got == {"a": 100, "b": 300}
+    assert got == {"a": 100, "b": 450}  # a gives all its repeats, b fills up as far as it can
+    got = {r["source"]: (r["tokens"], r["binding"], r["unused"]) for r in mixing.mix(df, t, "doc_id", "source", "tokens", total="available")[1].collect()}
+    assert got == {"a": (100, True, 0), "b": (400, False, 50)}
+    assert {r["source"]: (r["tokens"], r["binding"], r["unused"]) for r in mixing.mix(df, t, "doc_id", "source", "tokens")[1].collect()} == {"a": (100, True, 0), "b": (100, False, 350)}
     chosen, report = mixing.mix(df.limit(0), t, "doc_id", "source", "tokens")
     assert chosen.count() == 0 and report.count() == 2
 
