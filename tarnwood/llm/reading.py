@@ -6,10 +6,10 @@ words.  From these the published grade formulas (Flesch-Kincaid, Gunning fog, SM
 readability index, Coleman-Liau, Dale-Chall) and their median.  Dale-Chall's list of familiar
 words is taken from the rated texts of the easy levels.
 
-The grades are placed on the scale of the ratings by an ordinal reading of the estimates: a
-softmax regression on the median, the counts the formulas share and the shares of unfamiliar
-words, fitted on at most ``SAMPLE`` rated texts (those of the smallest key hash).  Without ratings the
-levels are cut from the median grade at fixed grades.
+On the scale of the ratings each formula gives an estimate of its own: its published inputs and the
+shares of unfamiliar words, weighted anew by a softmax regression on at most ``SAMPLE`` rated texts
+(those of the smallest key hash).  The level is the median of these seven estimates (the six formulas and
+LIX).  Without ratings the levels are cut from the median grade at fixed grades.
 
 Defined results: null, empty and blank texts and texts without letters have null grades and
 level; texts in Chinese or Japanese are measured by characters (two count as one word); texts
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwood.session import cut
+
 #: Most rated texts that are collected for the fit.
 SAMPLE = 5_000
 #: Grades at which the median is cut where nothing is rated: end of early school, of school, of a first degree.
@@ -52,18 +54,21 @@ def syllables(word: str) -> int:
 
 @dataclass
 class Scale:
-    """Familiar words by level and the weights of the fit (empty: the median is cut)."""
+    """Familiar words by level and each formula's (mean, spread, weights) (empty: the median grade is cut)."""
 
     familiar: list[frozenset] = field(default_factory=list)
     levels: list[int] = field(default_factory=list)
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    fits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """The level of each row of :func:`measures`: the median of the formulas' estimates."""
+        best = [(_expand(_inputs(rows, i), mean, spread) @ w).argmax(1) for i, (mean, spread, w) in enumerate(self.fits)]
+        return np.array(self.levels)[np.median(best, axis=0).astype(int)]
 
 
 def measures(text: str | None, familiar: list[frozenset], known: dict[str, int]) -> list[float] | None:
     """[words, sentences, words a sentence, syllables a word, polysyllables, six grades, median,
-    LIX, shares of words outside each familiar list], or None where there are no words."""
+    LIX, letters a word, shares of words outside each familiar list], or None where there are no words."""
     if not text:
         return None
     words = _WORD.findall(text)
@@ -73,7 +78,7 @@ def measures(text: str | None, familiar: list[frozenset], known: dict[str, int])
         s = max(1, len(_SENTENCE.findall(text)))
         asl = n / s
         grade = 0.39 * asl + 2.0
-        return [n, s, asl, 1.5, 0.0, *[grade] * 6, grade, asl, *[0.0] * len(familiar)]
+        return [n, s, asl, 1.5, 0.0, *[grade] * 6, grade, asl, 4.5, *[0.0] * len(familiar)]
     if not words:
         return None
     n, s = len(words), 0
@@ -101,11 +106,16 @@ def measures(text: str | None, familiar: list[frozenset], known: dict[str, int])
         0.39 * asl + 11.8 * spw - 15.59, 0.4 * (asl + 100 * poly / n), 1.043 * (30 * poly / s) ** 0.5 + 3.1291, 4.71 * letters / n + 0.5 * asl - 21.43,
         5.88 * letters / n - 29.6 * s / n - 15.8, 0.1579 * unfamiliar + 0.0496 * asl + (3.6365 if unfamiliar > 5 else 0),
     ]
-    return [float(n), float(s), asl, spw, poly / n, *grades, float(np.median(grades)), asl + 100 * long / n, *outside]
+    return [float(n), float(s), asl, spw, poly / n, *grades, float(np.median(grades)), asl + 100 * long / n, letters / n, *outside]
+
 
+#: Inputs of each formula, as columns of :func:`measures`: words a sentence and syllables, polysyllables, letters or
+#: long words; Dale-Chall has the shares of unfamiliar words, which are put to all.
+FORMULAS = (lambda m: (m[:, 2], m[:, 3]), lambda m: (m[:, 2], m[:, 4]), lambda m: (np.sqrt(30 * m[:, 4] * m[:, 2]), m[:, 4]), lambda m: (m[:, 2], m[:, 13]), lambda m: (1 / m[:, 2], m[:, 13]), lambda m: (m[:, 2],), lambda m: (m[:, 2], m[:, 12] - m[:, 2]))
 
-def _features(m: list[float]) -> list[float]:
-    return [m[2], m[3], m[4], m[11], *m[13:]]
+
+def _inputs(rows: np.ndarray, formula: int) -> np.ndarray:
+    return np.column_stack([*FORMULAS[formula](rows), rows[:, 14:]])
 
 
 def _expand(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -114,25 +124,8 @@ def _expand(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(z), 1)), z, z[:, i] * z[:, j]])
 
 
-def fit(texts: list[str], levels: list[int], steps: int = 2500, ridge: float = 1e-3) -> Scale:
-    """The scale of rated texts: familiar words (in two easy texts or more), then the regression."""
-    scale = Scale(levels=sorted(set(levels)))
-    if len(scale.levels) < 2:
-        return scale
-    easy = scale.levels[: max(1, len(scale.levels) // 2)]
-    for top in easy:
-        c: Counter = Counter()
-        for t, v in zip(texts, levels, strict=True):
-            if v <= top:
-                c.update({w.lower() for w in _WORD.findall(t)})
-        scale.familiar.append(frozenset(w for w, k in c.items() if k >= 2))
-    known: dict[str, int] = {}
-    rows = [(measures(t, scale.familiar, known), v) for t, v in zip(texts, levels, strict=True)]
-    rows = [(m, v) for m, v in rows if m is not None]
-    x = np.array([_features(m) for m, _ in rows])
-    y = np.array([[v == k for k in scale.levels] for _, v in rows], float)
-    scale.mean, scale.spread = x.mean(0), x.std(0) + 1e-9
-    z = _expand(x, scale.mean, scale.spread)
+def _regression(z: np.ndarray, y: np.ndarray, steps: int, ridge: float) -> np.ndarray:
+    """Weights of a softmax regression by gradient steps with momentum."""
     w, a, b = np.zeros((z.shape[1], y.shape[1])), 0.0, 0.0
     for k in range(1, steps + 1):
         p = z @ w
@@ -140,16 +133,71 @@ def fit(texts: list[str], levels: list[int], steps: int = 2500, ridge: float = 1
         p /= p.sum(1, keepdims=True)
         g = z.T @ (p - y) / len(y) + ridge * w
         a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
-        w = w - 0.02 * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-8)
-    scale.weights = w
+        w = w - 0.05 * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-8)
+    return w
+
+
+def _easy(levels: list[int]) -> list[int]:
+    """The levels whose words, and those of the levels below, are familiar ones."""
+    return levels[: max(1, len(levels) // 2)]
+
+
+def fitted(rows: np.ndarray, levels: list[int], familiar: list[frozenset], steps: int = 1000, ridge: float = 1e-3) -> Scale:
+    """The scale of rated rows of :func:`measures`."""
+    scale = Scale(familiar=familiar, levels=sorted(set(levels)))
+    if len(scale.levels) < 2:
+        return scale
+    y = np.array([[v == k for k in scale.levels] for v in levels], float)
+    for i in range(len(FORMULAS)):
+        x = _inputs(rows, i)
+        mean, spread = x.mean(0), x.std(0) + 1e-9
+        scale.fits.append((mean, spread, _regression(_expand(x, mean, spread), y, steps, ridge)))
     return scale
 
 
+def fit(texts: list[str], levels: list[int]) -> Scale:
+    """The scale of rated texts: familiar words (in two easy texts or more), then the formulas."""
+    familiar, known = [], {}
+    for top in _easy(sorted(set(levels))):
+        c = Counter(w for t, v in zip(texts, levels, strict=True) if v <= top for w in words_of(t))
+        familiar.append(frozenset(w for w, k in c.items() if k >= 2))
+    rows = [(measures(t, familiar, known), v) for t, v in zip(texts, levels, strict=True)]
+    rows = [(m, v) for m, v in rows if m is not None]
+    return fitted(np.array([m for m, _ in rows]), [v for _, v in rows], familiar)
+
+
+def words_of(text: str | None) -> set[str]:
+    return {w.lower() for w in _WORD.findall(text or "")}
+
+
 def fit_on(docs: DataFrame, ratings: DataFrame, key: str, text: str, level: str, sample: int = SAMPLE) -> Scale:
-    """The scale fitted on the rated documents, at most ``sample`` of them."""
-    rated = docs.select(key, text).join(ratings.select(key, level).where(F.col(level).isNotNull()), key).where(F.col(text).isNotNull())
-    rows = rated.orderBy(F.xxhash64(key), text, level).limit(sample).select(text, level).collect()
-    return fit([r[0] for r in rows], [int(r[1]) for r in rows])
+    """The scale fitted on the rated documents, at most ``sample`` of them.
+
+    Words are counted and texts measured where they lie; the driver gets the familiar words and a row of
+    numbers for each rated text, never a text."""
+    rated = docs.select(key, text).join(ratings.select(key, F.col(level).cast("int").alias("__level")).where(F.col(level).isNotNull()), key).where(F.col(text).isNotNull())
+    rated = cut(rated.orderBy(F.xxhash64(key), text, "__level").limit(sample).select(F.col(text).alias("text"), F.col("__level").alias("level")), docs.sparkSession)
+    easy = _easy(sorted(r[0] for r in rated.select("level").distinct().collect()))
+
+    @F.pandas_udf("array<string>")
+    def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([sorted(words_of(t)) for t in b], dtype=object)
+
+    counts = []
+    if easy:
+        per_word = rated.where(F.col("level").isin(easy)).select("level", F.explode(words("text")).alias("w")).groupBy("w")
+        counts = per_word.agg(*[F.count_if(F.col("level") <= top).alias(str(top)) for top in easy]).where(F.col(f"`{easy[-1]}`") >= 2).collect()
+    familiar = [frozenset(r["w"] for r in counts if r[str(top)] >= 2) for top in easy]
+
+    @F.pandas_udf("array<double>")
+    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for b in batches:
+            yield pd.Series([measures(t, familiar, known) for t in b], dtype=object)
+
+    rows = rated.select(numbers("text").alias("m"), "level").where("m is not null").collect()
+    return fitted(np.array([r["m"] for r in rows]), [r["level"] for r in rows], familiar)
 
 
 RESULT = T.StructType([T.StructField("words", T.LongType()), T.StructField("sentences", T.LongType())] + [T.StructField(g, T.DoubleType()) for g in GRADES] + [T.StructField("grade", T.DoubleType()), T.StructField("level", T.IntegerType())])
@@ -167,9 +215,8 @@ def read_levels(df: DataFrame, text: str, scale: Scale, out: str = "reading") ->
             got = [measures(t, scale.familiar, known) for t in texts]
             level = np.full(len(got), np.nan)
             at = [i for i, m in enumerate(got) if m is not None]
-            if at and scale.weights is not None:
-                z = _expand(np.array([_features(got[i]) for i in at]), scale.mean, scale.spread)
-                level[at] = np.array(scale.levels)[(z @ scale.weights).argmax(1)]
+            if at and scale.fits:
+                level[at] = scale.place(np.array([got[i] for i in at]))
             elif at:
                 level[at] = [1 + sum(got[i][11] > c for c in CUTS) for i in at]
             rows = [(int(m[0]), int(m[1]), *[round(v, 4) for v in m[5:11]], round(m[11], 4)) if m else (None,) * 9 for m in got]

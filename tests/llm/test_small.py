@@ -458,6 +458,14 @@ def test_mixing_given_total_and_empty(spark):
 
 
 # --- p10
+def test_fit_where_the_texts_lie_is_the_fit_of_the_texts(spark, data):
+    docs, rated = table(spark, data.replace("sf0.001", "sf0.01"), "documents"), table(spark, data.replace("sf0.001", "sf0.01"), "level_labels")
+    rows = docs.join(rated, "doc_id").where("text is not null").orderBy(F.xxhash64("doc_id")).select("text", "level").collect()
+    one, two = reading.fit([r[0] for r in rows], [r[1] for r in rows]), reading.fit_on(docs, rated, "doc_id", "text", "level")
+    assert one.familiar == two.familiar and one.levels == two.levels and all((a[2].round(6) == b[2].round(6)).all() for a, b in zip(one.fits, two.fits, strict=True))
+    assert reading.fit_on(docs, rated.limit(0), "doc_id", "text", "level").fits == []
+
+
 def test_syllables():
     want = {"cat": 1, "table": 2, "make": 1, "making": 2, "electrode": 3, "idea": 3, "polarisation": 5, "measured": 2, "wanted": 2, "the": 1, "rhythm": 1, "area": 3, "simple": 2, "jumped": 1, "x": 1}
     wrong = {w: reading.syllables(w) for w, n in want.items() if abs(reading.syllables(w) - n) > (1 if w in ("idea", "area") else 0)}
@@ -471,5 +479,5 @@ def test_reading_rows(spark):
     assert got[1]["level"] == 1 and got[2]["level"] == 4 and got[1]["grade"] < got[2]["grade"]
     assert all(got[i]["grade"] is None and got[i]["level"] is None for i in (3, 4, 5)) and got[6]["grade"] is not None
     assert reading.read_levels(df.limit(0), "text", reading.Scale()).count() == 0
-    assert reading.fit([], []).weights is None and reading.fit([easy], [1]).weights is None
+    assert reading.fit([], []).fits == [] == reading.fit([easy], [1]).fits
     assert [r[0] for r in reading.read_levels(df.where("doc_id < 3"), "text", reading.fit([easy, hard] * 5, [1, 4] * 5)).select("reading.level").distinct().orderBy("level").collect()] == [1, 4]
