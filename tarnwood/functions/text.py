@@ -49,6 +49,35 @@ def preview(text: Column, tokens: Column, width: int = 340) -> Column:
     return F.when(body == "", F.lit("")).otherwise(out)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def snippet(text: Column, words: Column, size: int = 22) -> Column:
+    """The ``size`` words that begin at a hit and hold the most different ones of ``words`` (index terms), the first
+    of equals, each hit marked by 【】; the beginning where nothing hits."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM + r"[^\p{L}\p{N}]*"), F.lit(0))
+    hit = lambda t, ws: let(F.translate(F.lower(F.regexp_extract(t, TERM, 0)), *ACCENTS), lambda f: F.when(F.array_contains(ws, f), f))
+
+    def cut_out(ts: Column, hits: Column) -> Column:
+        begins = F.filter(F.transform(hits, lambda h, i: F.when(h.isNotNull(), F.struct((-F.size(F.array_distinct(F.array_compact(F.slice(hits, i + 1, size))))).alias("s"), (i + 1).alias("i")))), lambda b: b.isNotNull())
+        return let(F.coalesce(F.array_min(begins)["i"], F.lit(1)), lambda start: shown(ts, hits, start))
+
+    def shown(ts: Column, hits: Column, start: Column) -> Column:
+        marked = F.zip_with(F.slice(ts, start, size), F.slice(hits, start, size), lambda t, h: F.when(h.isNotNull(), F.regexp_replace(t, "^(" + TERM + ")", "【$1】")).otherwise(t))
+        return F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), F.trim(F.array_join(marked, "")), F.when(start + size <= F.size(ts), F.lit("…")).otherwise(F.lit("")))
+
+    return let(words, lambda ws: let(tokens, lambda ts: let(F.transform(ts, lambda t: hit(t, ws)), lambda hits: cut_out(ts, hits))))
+
+
+def html_marked(preview: Column) -> Column:
+    """A preview for a page: markup escaped first, then 【x】 set in bold."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        preview = F.replace(preview, F.lit(sign), F.lit(name))
+    return F.regexp_replace(preview, "【(.+?)】", "<b>$1</b>")
+
+
 def one_blank(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -90,6 +90,12 @@ def countries(papers: DataFrame, geo: DataFrame) -> DataFrame:
     return rows.withColumn("label", label).groupBy(F.col("code").alias("iso3")).agg(F.min_by("label", "file").alias("country"), F.count("*").alias("papers"), F.sum("cited").alias("cited"))
 
 
+def like(papers: DataFrame, words: str, n: int = 20) -> DataFrame:
+    """The ``n`` most cited papers whose title or authors hold ``words`` in any case, with their rank."""
+    found = papers.where(F.col("title").ilike(f"%{words}%") | F.col("authors").ilike(f"%{words}%"))
+    return best(found, n, F.desc_nulls_last("cited"), "file")
+
+
 def best(df: DataFrame, n: int, *order) -> DataFrame:
     """The first ``n`` rows by ``order``, with their rank (a report, so the limit is its feature)."""
     top = df.orderBy(*order).limit(n)
@@ -109,8 +115,9 @@ def overview_totals(papers: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def paper(papers: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file, title, segments): each paper in scope with its segments in page order."""
-    own = scoped(papers).select("file", "title")
-    seg = F.struct(tx.page_order(F.col("page")).isNotNull().alias("paged"), tx.page_order(F.col("page")).alias("no"), "rowid", "page")
-    segments = chunks.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(seg)), lambda s: F.struct(s["rowid"].alias("rowid"), s["page"].alias("page"))).alias("segments"))
-    return own.join(segments, "file", "left")
+    """(file, title, place, rowid, page): the segments of each paper in scope in page order; a paper without any has one row without place.
+
+    Each segment stays a row, so a file of any number of segments is sorted, never gathered."""
+    order = Window.partitionBy("file").orderBy(F.asc_nulls_first(tx.page_order(F.col("page"))), "rowid")
+    segments = chunks.select("file", F.row_number().over(order).alias("place"), "rowid", "page")
+    return scoped(papers).select("file", "title").join(segments, "file", "left")

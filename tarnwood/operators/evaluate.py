@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwood.operators import retrieval
+
 # Weights of the keyword and the vector route that a sweep tries, in order.
 SWEEP = ((1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 2.0), (2.0, 1.0), (1.0, 3.0), (3.0, 1.0))
 
@@ -23,7 +27,7 @@ def measures(papers: DataFrame, gold: DataFrame, k: int = 8, by: tuple[str, ...]
     size = gold.select("query_id", "file").distinct().groupBy("query_id").agg(F.count("*").alias("gold"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("gold", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     runs = papers.select(*by[1:]).distinct() if len(by) > 1 else None
-    asked = size.crossJoin(F.broadcast(runs)) if runs is not None else size
+    asked = size.join(runs) if runs is not None else size  # a row for each run is a handful
     hits = papers.where(F.col("rank") <= k).join(gold.select("query_id", "file").distinct(), ["query_id", "file"], "left_semi")
     g = hits.groupBy(*by).agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     m = asked.join(g, list(by), "left")
@@ -33,6 +37,19 @@ def measures(papers: DataFrame, gold: DataFrame, k: int = 8, by: tuple[str, ...]
     )
 
 
+def sweep(keyword: DataFrame, vector: DataFrame, chunks: DataFrame, gold: DataFrame, weights: Sequence[tuple[float, float]] = SWEEP, depth: int = 32) -> DataFrame:
+    """(run, recall, mrr, ndcg, best): the fused routes under each pair of weights; the first of the runs of the highest nDCG is the best."""
+    runs = keyword.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(weights)], "run int, wk double, wv double")
+    each = retrieval.routed(keyword, vector).drop("weight").join(F.broadcast(runs)).withColumn("weight", F.when(F.col("route") == "keyword", F.col("wk")).otherwise(F.col("wv")))
+    at = lambda r: F.min(F.when(F.col("route") == r, F.col("rank")))
+    g = each.groupBy("run", "query_id", "rowid").agg(F.round(F.sum(F.col("weight") / (retrieval.RRF_K + F.col("rank"))), 9).alias("score"), at("keyword").alias("kw_rank"), at("vector").alias("vec_rank"))
+    w = Window.partitionBy("run", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("kw_rank"), F.asc_nulls_last("vec_rank"), "rowid")
+    by = ("query_id", "run")
+    m = macro(measures(to_papers(g.withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth), chunks, by), gold, by=by), "run")
+    best = F.first("run").over(Window.orderBy(F.desc("ndcg"), "run"))  # one row for each pair of weights
+    return m.select("run", "recall", "mrr", "ndcg", (F.col("run") == best).alias("best"))
+
+
 def macro(per_query: DataFrame, *by: str) -> DataFrame:
     """Means over the questions."""
     return per_query.groupBy(*by).agg(F.count("*").alias("questions"), *[F.round(F.avg(m), 6).alias(m) for m in ("recall", "mrr", "ndcg")])

@@ -136,11 +136,12 @@ def bubbles(countries: DataFrame, codes: DataFrame, centres: DataFrame) -> DataF
 
 
 def labels(bubbles_: DataFrame, most: int = 6, width: float = 200, height: float = 120) -> DataFrame:
-    """The bubbles that are labelled: largest first, none in the box of one labelled before, ``most`` at most."""
-    rows = bubbles_.agg(F.array_sort(F.collect_list(F.struct((-F.col("papers")).alias("o"), "iso3", "x", "y"))).alias("r"))
+    """The bubbles that are labelled: of the ``most`` largest those not in the box of one labelled before."""
+    largest = bubbles_.orderBy(F.desc("papers"), "iso3").limit(most)
+    rows = largest.agg(F.array_sort(F.collect_list(F.struct((-F.col("papers")).alias("o"), "iso3", "x", "y"))).alias("r"))
     chosen: Column = F.aggregate(
         "r", F.expr("cast(array() as array<struct<o:bigint,iso3:string,x:double,y:double>>)"),
-        lambda s, b: F.when((F.size(s) < most) & ~F.exists(s, lambda q: (F.abs(q["x"] - b["x"]) < width) & (F.abs(q["y"] - b["y"]) < height)),
+        lambda s, b: F.when(~F.exists(s, lambda q: (F.abs(q["x"] - b["x"]) < width) & (F.abs(q["y"] - b["y"]) < height)),
                             F.concat(s, F.array(F.struct(b["o"].cast("bigint").alias("o"), b["iso3"].alias("iso3"), b["x"].alias("x"), b["y"].alias("y"))))).otherwise(s),
     )
     return rows.select(F.explode(chosen).alias("b")).select("b.iso3", (-F.col("b.o")).alias("papers"), "b.x", "b.y")

@@ -6,6 +6,7 @@ plan.  A callable that fails on one row costs that row only, and the report says
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwood.operators import ingest, tree
+from tarnwood.functions import text as tx
+from tarnwood.operators import ingest, retrieval, tree
+from tarnwood.session import cut
 
 PAGES = "path string, page string, text string, error string"
 
@@ -55,16 +58,46 @@ def chunk_rows(pages: DataFrame) -> DataFrame:
     return ingest.chunk_texts(p, "key", "text").select("key.file", "key.page", "chunk_no", F.col("chunk").alias("text"))
 
 
-def build_vectors(chunks: DataFrame, old: DataFrame, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], width: int, size: int = 10, tries: int = 5) -> DataFrame:
+def patiently(call: Callable, tries: int, wait: Callable[[float], None] = time.sleep):
+    """The result of ``call``, tried again after 1, 2, 4 … seconds, 30 at most; None if it fails ``tries`` times."""
+    for n in range(tries):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001 - tried again, then left for the next run
+            if n + 1 < tries:
+                wait(min(2.0**n, 30.0))
+    return None
+
+
+def in_order(got: Sequence, n: int) -> list:
+    """``n`` vectors of a reply in the order of the texts; a reply may be vectors, or (index of the text, vector) pairs in any order."""
+    if len(got) != n:
+        raise ValueError("the embedder returned another number of vectors")
+    if got and isinstance(got[0], tuple):
+        if sorted(i for i, _ in got) != list(range(n)):
+            raise ValueError("the embedder returned other texts")
+        return [v for _, v in sorted(got, key=lambda p: p[0])]
+    return list(got)
+
+
+def build_vectors(chunks: DataFrame, old: DataFrame, embed: Callable[[Sequence[str]], Sequence], width: int, size: int = 10, tries: int = 5, most: int | None = None, restart: bool = False, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """(rowid, digest, vector): one vector per chunk.
 
     ``old`` is (rowid, digest, vector); a vector that is not all zero is kept if the text's digest is
     the same, so an edited text is embedded again.  A call that fails ``tries`` times gives zero
-    vectors, which the next run takes up again; only missing rows reach the embedder."""
+    vectors, which the next run takes up again; only missing rows reach the embedder.  ``most`` embeds no more than so
+    many of them, in the order of rowid, the others get zero vectors; ``restart`` keeps no old vector.  Written as Parquet the
+    result appears whole or not at all."""
+    old = old.limit(0) if restart else old
     wanted = ingest.embed_input(chunks).withColumn("digest", F.md5("input"))
     usable = old.where(F.exists("vector", lambda x: x != 0)).select("rowid", "digest", "vector")
     kept = wanted.drop("input").join(usable, ["rowid", "digest"])
     missing = wanted.join(kept.select("rowid"), "rowid", "left_anti")
+    later = None
+    if most is not None:
+        now = missing.orderBy("rowid").limit(most)
+        later = missing.join(now.select("rowid"), "rowid", "left_anti").select("rowid", "digest", F.array_repeat(F.lit(0.0).cast("float"), width).alias("vector"))
+        missing = now
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -72,19 +105,12 @@ def build_vectors(chunks: DataFrame, old: DataFrame, embed: Callable[[Sequence[s
             texts, out = b.tolist(), []
             for i in range(0, len(texts), size):
                 part = texts[i : i + size]
-                got: Sequence[Sequence[float]] | None = None
-                for _ in range(tries):
-                    try:
-                        got = embed(part)
-                        if len(got) == len(part):
-                            break
-                        got = None
-                    except Exception:  # noqa: BLE001 - tried again, then left for the next run
-                        got = None
+                got = patiently(lambda part=part: in_order(embed(part), len(part)), tries, wait)
                 out += [list(v) for v in got] if got is not None else [[0.0] * width] * len(part)
             yield pd.Series(out, dtype=object)
 
-    return kept.select("rowid", "digest", "vector").unionByName(missing.select("rowid", "digest", vectors("input").alias("vector")))
+    made = kept.select("rowid", "digest", "vector").unionByName(missing.select("rowid", "digest", vectors("input").alias("vector")))
+    return made if later is None else made.unionByName(later)
 
 
 class Breaker:
@@ -130,10 +156,36 @@ def expanded(question: Column, words: Column) -> Column:
 
 
 def cited_hits(answers: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, file, n, place): the works an answer cites as [n], one row per file at its first citation."""
-    n = answers.select("query_id", F.posexplode(F.regexp_extract_all("answer", F.lit(r"\[([0-9]{1,2})\]"), F.lit(1))).alias("at", "n")).withColumn("n", F.col("n").cast("int"))
-    first = n.join(hits.select("query_id", "n", "file"), ["query_id", "n"]).groupBy("query_id", "file").agg(F.min_by("n", "at").alias("n"), F.min("at").alias("at"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).drop("at")
+    """(query_id, file, n, place): the works of the hits an answer cites as [n], in the order of the hits, one row per
+    file; all works where it cites none of them."""
+    said = answers.select("query_id", F.explode(F.regexp_extract_all("answer", F.lit(r"\[([0-9]{1,2})\]"), F.lit(1))).alias("n")).select("query_id", F.col("n").cast("int").alias("n"), F.lit(True).alias("cited")).distinct()
+    known = hits.select("query_id", F.col("n").cast("int").alias("n"), "file").join(answers.select("query_id").distinct(), "query_id", "left_semi").join(said, ["query_id", "n"], "left").na.fill(False, ["cited"])
+    any_ = F.max("cited").over(Window.partitionBy("query_id"))
+    shown = known.withColumn("any", any_).where("cited or not any").groupBy("query_id", "file").agg(F.min("n").alias("n"))
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("n")))
+
+
+def asked_words(questions: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(query_id, query): each question with the search words an injected model gives for it; a call that fails leaves it as it is."""
+    return ingest.ask_rows(questions, F.col("query"), model, "__words", 1).select("query_id", expanded(F.col("query"), F.col("__words")).alias("query"))
+
+
+def guarded_search(chunks: DataFrame, papers: DataFrame, vectors: DataFrame, questions: DataFrame, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], breaker: Breaker, **options) -> DataFrame:
+    """:func:`retrieval.search` of (query_id, query), embedded behind the breaker: where that fails or the breaker is
+    open, the keyword route answers alone."""
+    empty = F.lit(None).cast("array<float>")
+    embedded = breaker.call(lambda: cut(questions.select("query_id", "query", retrieval.batches_of(embed, F.col("query")).alias("vector")), questions.sparkSession))
+    return retrieval.search(chunks, papers, vectors, questions.select("query_id", "query", empty.alias("vector")) if embedded is None else embedded, **options)
+
+
+def hydrated(hits: DataFrame, chunks: DataFrame, papers: DataFrame, queries: DataFrame) -> DataFrame:
+    """``hits`` (query_id, rowid, …) as they are shown: what the chunk and its paper hold, missing fields with their
+    defaults, and the preview around the words of the question."""
+    or_ = lambda c, d="": F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(d)).alias(c)
+    fields = ["authors", "venue", "doi", "tier", "category", "paper_id", "index_status", "corresponding_author", "abstract_data", "innovation", "abstract_source", "evaluation"]
+    meta = papers.select("file", or_("title", "(untitled)"), "year", "cited", F.coalesce("cross_topic", F.lit(0)).alias("cross_topic"), *[or_(f) for f in fields])
+    rows = hits.join(chunks.select("rowid", "file", or_("page"), F.coalesce("text", F.lit("")).alias("text")), "rowid").join(meta, "file").join(queries.select("query_id", "query"), "query_id")
+    return rows.withColumn("preview", tx.preview(F.col("text"), tx.query_tokens(F.col("query")))).drop("query")
 
 
 def planned_focus(ids: Sequence[str] | None, nodes: Sequence[str] | None = None, default: Sequence[str] = ("fm_force", "fm_induction", "fm_electrode")) -> list[str]:

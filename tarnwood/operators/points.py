@@ -45,6 +45,13 @@ def deduplicated(points: DataFrame) -> DataFrame:
     return ok.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def listed(points: DataFrame, papers: DataFrame) -> DataFrame:
+    """The points that are shown, largest first in each metric: place, converted and printed value, conditions and paper."""
+    d = deduplicated(points).join(papers.select("file", "title", "year"), "file").withColumn("shown", F.round("v", 4))
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("shown"), "id"))
+    return d.select("metric", place.alias("place"), "id", "shown", F.col("value").alias("printed"), "unit", "voltage_kv", "gap_um", "medium", "file", "title", "year")
+
+
 def metric_stats(points: DataFrame) -> DataFrame:
     """(metric, n, lowest, highest, median): the upper median, over values of four decimals."""
     v = F.round("v", 4)

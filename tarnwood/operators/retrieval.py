@@ -185,7 +185,8 @@ def keyword_search(chunks: DataFrame | Index, queries: DataFrame, scope: DataFra
     if len(rows) <= ASKED and len({r["phrase"] for r in rows}) * len({r["query_id"] for r in rows}) <= 200 * ASKED:
         return top_k(_scored_together(index, rows, asked.schema, key, scope, k, k1, b, mode), k, key)
     scores = keyword_scores(index, queries, key, columns, k1, b, mode)
-    return top_k(scores.join(scope, key, "left_semi") if scope is not None else scores, k, key)
+    scores = scores.join(scope, key, "left_semi") if scope is not None else scores
+    return top_k(scores.select("query_id", key, "score"), k, key)
 
 
 def normalised(vector: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,13 +54,12 @@ def nodes(spark: SparkSession, text: str = NODES) -> DataFrame:
 
 def preorder(tree: DataFrame) -> DataFrame:
     """``tree`` with depth, path and place: every node before its children, in listed order."""
-    tree.createOrReplaceTempView("__tree")
     walked = tree.sparkSession.sql("""
         with recursive w(id, depth, path) as (
-            select id, 0, lpad(cast(ord as string), 6, '0') from __tree where parent is null
+            select id, 0, lpad(cast(ord as string), 6, '0') from {tree} where parent is null
             union all
-            select t.id, w.depth + 1, concat(w.path, '/', lpad(cast(t.ord as string), 6, '0')) from __tree t join w on t.parent = w.id)
-        select id, depth, path from w""")
+            select t.id, w.depth + 1, concat(w.path, '/', lpad(cast(t.ord as string), 6, '0')) from {tree} t join w on t.parent = w.id)
+        select id, depth, path from w""", tree=tree)
     return tree.join(walked, "id").withColumn("place", F.row_number().over(Window.orderBy("path")))
 
 
@@ -72,15 +73,41 @@ def outline(tree: DataFrame) -> DataFrame:
     return walked.select("place", F.when(F.col("q").isNull(), F.col("label")).otherwise(F.concat(F.lit("  - "), "id", F.lit(": "), "label")).alias("line"))
 
 
-def focus(question: DataFrame, node_hits: DataFrame, tree: DataFrame, beginner: bool = False, position: str = "last", n: int = 3) -> DataFrame:
+def find(tree: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (id) that name a node, the root and groups too, with what the node holds; of equal ids the first in order."""
+    first = preorder(tree).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where("r = 1").drop("r", "path")
+    return ids.join(first, "id")
+
+
+def domain_of(trees: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+    """(id, domain): the first of the named trees that holds each id, null where none does."""
+    held = [t.select("id", F.lit(n).alias("at"), F.lit(d).alias("domain")) for n, (d, t) in enumerate(trees.items())]
+    every = reduce(DataFrame.unionByName, held).groupBy("id").agg(F.min_by("domain", "at").alias("domain"))
+    return ids.select("id").join(every, "id", "left")
+
+
+def is_beginner(question: Column) -> Column:
+    """Whether a question holds a beginner's word."""
+    return F.exists(F.array(*[F.lit(w) for w in BEGINNER]), lambda w: F.contains(F.coalesce(question, F.lit("")), w))
+
+
+def presented(tree: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(query_id, id, number): every node for every question, with its place on the path, null where it stands aside."""
+    asked = chosen.select("query_id").distinct().withColumn("id", F.explode(F.array(*[F.lit(r["id"]) for r in tree.select("id").collect()])))
+    return asked.join(chosen.select("query_id", "id", F.col("place").alias("number")), ["query_id", "id"], "left")
+
+
+def focus(question: DataFrame, node_hits: DataFrame, tree: DataFrame, beginner: DataFrame | None = None, position: str = "last", n: int = 3) -> DataFrame:
     """(query_id, id, score, place): the ``n`` leaves whose papers overlap most with the question's.
 
     ``question`` is (query_id, file, rank) over hits, ``node_hits`` (id, file).  A file weighs 1/(1+i)
-    by its last (or first) position i; scores choose the nodes, levels order them."""
+    by its last (or first) position i; scores choose the nodes, levels order them.  ``beginner`` are the (query_id)
+    of beginners, for whom the first level counts more and the third less."""
     at = F.max("rank") if position == "last" else F.min("rank")
     weight = question.groupBy("query_id", "file").agg((1 / at).alias("w"))
-    prior = F.coalesce(*[F.when(F.col("level") == k, F.lit(v if beginner else 1.0)) for k, v in PRIOR.items()], F.lit(1.0))
+    prior = F.coalesce(*[F.when((F.col("level") == k) & F.col("new"), F.lit(v)) for k, v in PRIOR.items()], F.lit(1.0))
     asked = question.select("query_id").distinct()
+    asked = asked.withColumn("new", F.lit(False)) if beginner is None else asked.join(beginner.select("query_id", F.lit(True).alias("new")).distinct(), "query_id", "left").na.fill(False, ["new"])
     overlap = weight.join(node_hits.select("id", "file").distinct(), "file").groupBy("query_id", "id").agg(F.sum("w").alias("s"))
     # few leaves: every question is scored on all of them, those without overlap with 0
     every = asked.withColumn("id", F.explode(F.array(*[F.lit(r[0]) for r in parsed() if r[5]])))

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnwood.functions import text as tx
 from tarnwood.operators import corpus, evaluate, geo, ingest, points, retrieval, tree
-from tarnwood.session import cut
 from tarnwood.sources.tables import table
 from tarnwood.streaming import incremental
 
@@ -111,8 +109,7 @@ def preview_all_words(s: SparkSession, d: str) -> DataFrame:
 
 
 def paper_segments(s: SparkSession, d: str) -> DataFrame:
-    p = corpus.paper(_papers(s, d), _chunks(s, d))
-    return p.select("file", "title", F.posexplode("segments").alias("i", "s")).select("file", "title", (F.col("i") + 1).alias("place"), "s.rowid", "s.page")
+    return corpus.paper(_papers(s, d), _chunks(s, d)).where("place is not null")
 
 
 def corpus_stats(s: SparkSession, d: str) -> DataFrame:
@@ -174,8 +171,7 @@ def point_counters(s: SparkSession, d: str) -> DataFrame:
 
 
 def title_like(s: SparkSession, d: str) -> DataFrame:
-    p = _papers(s, d).where("title ilike '%film motor%' or authors ilike '%film motor%'")
-    return corpus.best(p, 20, F.desc_nulls_last("cited"), "file").select("rank", "file", "title", "cited")
+    return corpus.like(_papers(s, d), "film motor").select("rank", "file", "title", "cited")
 
 
 #: A watermark put behind a chunk's text, as publishers do, and a long form of it.
@@ -245,8 +241,7 @@ def embed_inputs(s: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_cost(s: SparkSession, d: str) -> DataFrame:
-    chars = F.sum(F.length("input"))
-    return ingest.embed_input(_chunks(s, d)).agg(F.count("*").alias("chunks"), chars.alias("chars"), F.round(chars / 4 / 1000 * 0.0005, 6).alias("cost"))
+    return ingest.embedding_cost(_chunks(s, d))
 
 
 def first_chunk(s: SparkSession, d: str) -> DataFrame:
@@ -300,16 +295,7 @@ def hybrid_gain(s: SparkSession, d: str) -> DataFrame:
 
 
 def weight_sweep(s: SparkSession, d: str) -> DataFrame:
-    kw, vec = _routes(s, d)
-    weights = s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(evaluate.SWEEP)], "run int, wk double, wv double")
-    routed = retrieval.routed(kw, vec).drop("weight").join(F.broadcast(weights)).withColumn("weight", F.when(F.col("route") == "keyword", F.col("wk")).otherwise(F.col("wv")))
-    g = routed.groupBy("run", "query_id", "rowid").agg(F.round(F.sum(F.col("weight") / (60 + F.col("rank"))), 9).alias("score"), F.min(F.when(F.col("route") == "keyword", F.col("rank"))).alias("kw_rank"), F.min(F.when(F.col("route") == "vector", F.col("rank"))).alias("vec_rank"))
-    w = Window.partitionBy("run", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("kw_rank"), F.asc_nulls_last("vec_rank"), "rowid")
-    ranked = g.withColumn("place", F.row_number().over(w)).where("place <= 32")
-    by = ("query_id", "run")
-    m = evaluate.macro(evaluate.measures(evaluate.to_papers(ranked, _chunks(s, d), by), _gold(s, d), by=by), "run")
-    first = F.max_by("run", F.struct("ndcg", -F.col("run")))
-    return m.crossJoin(m.agg(first.alias("best"))).select("run", "recall", "mrr", "ndcg", (F.col("run") == F.col("best")).alias("best"))
+    return evaluate.sweep(*_routes(s, d), _chunks(s, d), _gold(s, d))
 
 
 def eval_nomination(s: SparkSession, d: str) -> DataFrame:
@@ -341,12 +327,6 @@ def learn_papers(s: SparkSession, d: str) -> DataFrame:
     return evaluate.to_papers(kw, _chunks(s, d), place="rank").where("rank <= 3")
 
 
-def citation_summary(s: SparkSession, d: str) -> DataFrame:
-    cited = _chunks(s, d).where("text is not null").select("rowid", "file", F.explode(F.regexp_extract_all("text", F.lit(r"(?:Fig\.|Eq\. \(|Table|Sect\.) ?([0-9]{1,2})"), F.lit(1))).alias("n"))
-    c = cited.withColumn("n", F.col("n").cast("int")).groupBy("file", "n").agg(F.count("*").alias("times"), F.min("rowid").alias("first"))
-    return c.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("first", "n")))
-
-
 def map_bubbles(s: SparkSession, d: str) -> DataFrame:
     ref = table(s, d, "country_ref")
     centres = ref.select("iso2", (F.ascii(F.col("iso2")) * 10.0).alias("x"), (F.ascii(F.substring("iso2", 2, 1)) * 7.0).alias("y"))
@@ -396,5 +376,5 @@ _NAMES = """tokenize_counts match_expressions keyword_index bm25_topk bm25_all_w
 corpus_stats tier_histogram category_rollup timeline author_stats top_authors institution_stats country_stats overview_totals top_cited unit_normalise metric_stats point_counters title_like
 watermark_strip noise_clean chunk_documents catalog_merge three_vote_classify pending_ingest upsert_latest replace_and_update vector_reuse vector_norms embed_inputs embedding_cost first_chunk
 candidate_segments json_extract_rows extraction_fields extraction_summary retrieval_metrics mode_compare hybrid_gain weight_sweep eval_nomination tree_outline tree_leaves learn_overlap learn_papers
-citation_summary map_bubbles map_unplaced map_labels build_context svg_rings svg_shapes event_windows region_revenue""".split()
+map_bubbles map_unplaced map_labels build_context svg_rings svg_shapes event_windows region_revenue""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

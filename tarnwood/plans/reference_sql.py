@@ -137,6 +137,14 @@ SQL: dict[str, str] = {
         u as (select *, greatest(0, coalesce(nullif(strpos(lower(body), lower(tok)), 0) - 1, 0) - 113) as start from t),
         v as (select *, trim(replace(substr(body, start + 1, 340), chr(10), ' ')) as seg from u)
         select rowid, {_PREVIEW} as preview from v""",
+    "build_context": f"""with {PAPERS}, {QUERY}, {SCOPE}, {BM25}, k as (select * from (select query_id, rowid, row_number() over (partition by query_id order by score desc, rowid) as n from bm where rowid in (select rowid from scope)) where n <= 8)
+        select query_id, string_agg('[' || n || '] ' || coalesce(nullif(c.title, ''), '(untitled)') || ' | ' || coalesce(split_part(p.authors, ',', 1), '') || ' et al. | ' || coalesce(p.year::varchar, '?') || ' | ' || coalesce(nullif(p.venue, ''), '?') || ' | ' || coalesce(nullif(p.tier, ''), '?')
+        || ' | DOI ' || coalesce(nullif(p.doi, ''), '—') || ' | p. ' || coalesce(nullif(c.page, ''), 'not verified') || chr(10) || trim(coalesce(c.text, '')), chr(10) || chr(10) order by n) as context from k join chunks c using (rowid) join p on p.file = c.file group by query_id""",
+    "map_labels": f"""with recursive {PAPERS}, {_countries('own')}, b as (select *, row_number() over (order by papers desc, iso3) as r from (select iso3, papers, ascii(iso2) * 10.0::double as x, ascii(substr(iso2, 2, 1)) * 7.0::double as y from co join country_ref using (iso3))),
+        g as (select r, [{{'x': x, 'y': y}}] as placed, true as put, iso3, papers, x, y from b where r = 1
+            union all select b.r, case when ok then list_append(placed, {{'x': b.x, 'y': b.y}}) else placed end, ok, b.iso3, b.papers, b.x, b.y
+            from (select g.r + 1 as r, placed, len(list_filter(placed, lambda q: abs(q.x - n.x) < 200 and abs(q.y - n.y) < 120)) = 0 as ok from g join b n on n.r = g.r + 1 where g.r < 6) s join b on b.r = s.r)
+        select iso3, papers, x, y from g where put""",
     "paper_segments": f"""with {PAPERS} select own.file, own.title, row_number() over (partition by own.file order by {_PAGE} nulls first, rowid) as place, rowid, page from own join chunks c using (file)""",
     "corpus_stats": f"""with {PAPERS} select (select count(*) from own) as papers, (select min(year) from own where year > 1900) as year_min, (select max(year) from own where year > 1900) as year_max,
         (select count(*) from chunks where file in (select file from own)) as chunks, (select count(*) from chunks where file in (select file from own) and rowid in (select vec_id from embeddings)) as vectors,
@@ -220,8 +228,6 @@ SQL: dict[str, str] = {
         k as (select * from (select query_id, rowid, row_number() over (partition by query_id order by score desc, rowid) as rank from bm where rowid in (select rowid from scope)) where rank <= 12),
         f as (select query_id, file, min(rank) as p0 from k join chunks using (rowid) group by query_id, file)
         select query_id, file, rank from (select query_id, file, row_number() over (partition by query_id order by p0) as rank from f) where rank <= 3""",
-    "citation_summary": """with c as (select rowid, file, unnest(regexp_extract_all(text, '(?:Fig\\.|Eq\\. \\(|Table|Sect\\.) ?([0-9]{1,2})', 1))::int as n from chunks where text is not null),
-        g as (select file, n, count(*) as times, min(rowid) as first from c group by file, n) select file, n, times, first, row_number() over (partition by file order by first, n) as place from g""",
     "map_bubbles": f"""with {PAPERS}, {_countries('own')}, b as (select iso3, papers, ascii(iso2) * 10.0::double as x, ascii(substr(iso2, 2, 1)) * 7.0::double as y from co join country_ref using (iso3))
         select iso3, papers, x, y, round(22 + 88 * sqrt(papers / max(papers) over ()), 4) as radius from b""",
     "map_unplaced": f"with {PAPERS}, {_countries('p')} select iso3, papers from co where iso3 not in (select iso3 from country_ref)",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwood.plans import reference, reference_sql, repair
+from tarnwood.plans import reference, reference_sql, repair, stages
 
-QUERIES = {**reference.QUERIES, **repair.QUERIES}
-SQL: dict[str, str] = {**reference_sql.SQL, **repair.SQL}
+QUERIES = {**reference.QUERIES, **stages.QUERIES, **repair.QUERIES}
+SQL: dict[str, str] = {**reference_sql.SQL, **stages.SQL, **repair.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,14 +21,40 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     q.awaitTermination()
 
 
-def upsert_batches(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the last row by key below ``target``, one version per batch."""
+def newest_parts(spark: SparkSession, target: str) -> tuple[int, dict[int, str]]:
+    """(newest finished version, path of each bucket's newest part) below ``target``; version -1 where there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    list_ = lambda path, sign: {int(st.getPath().getName()[2:]): st.getPath() for st in files.listStatus(path) if st.getPath().getName().startswith(sign)}
+    newest, parts = -1, {}
+    for v, path in sorted(list_(root, "v=").items() if files.exists(root) else ()):
+        newest = v
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            parts |= {b: p.toString() for b, p in list_(path, "b=").items()}
+    return newest, parts
+
+
+def upserted(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The table kept by :func:`upsert_batches`."""
+    parts = newest_parts(spark, target)[1]
+    return spark.read.schema(schema).parquet(*parts.values()) if parts else spark.createDataFrame([], schema)
+
+
+def upsert_batches(target: str, key: str, order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps the last row by key below ``target``.
+
+    Rows lie in buckets by the hash of their key; a batch reads and writes the buckets it touches, as a new version,
+    and the others stay.  A version that was not finished is not read, and a batch that comes again, or a
+    new checkpoint, goes on from the newest one with equal results."""
     from tarnwood.operators.ingest import upsert
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{target}/v={number - 1}") if number else batch.limit(0)
-        upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{target}/v={number}")
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
+        newest, parts = newest_parts(spark, target)
+        paths = [parts[b] for b in touched if b in parts]
+        old = spark.read.schema(batch.schema).parquet(*paths) if paths else batch.limit(0)
+        upsert(old, batch, key, order).withColumn("b", bucket).write.partitionBy("b").parquet(f"{target}/v={newest + 1}")
 
     return write
 

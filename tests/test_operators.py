@@ -172,7 +172,14 @@ def test_incremental_upsert(spark, tmp_path):
     run()
     spark.createDataFrame([("k", 2, 2)], a.schema).coalesce(1).write.mode("append").parquet(src)
     run()
-    assert sorted(map(tuple, spark.read.parquet(f"{target}/v=1").collect())) == [("k", 2, 2), ("l", 1, 1)]
+    rows = lambda: sorted(map(tuple, incremental.upserted(spark, target, a.schema).collect()))
+    assert rows() == [("k", 2, 2), ("l", 1, 1)] and len(list((tmp_path / "out" / "v=1").glob("b=*"))) == 1  # only the bucket of k
+    # a lost checkpoint reads everything again and changes nothing; an unfinished version is not read
+    run = lambda: incremental.run_available(incremental.read_new(spark, src, a.schema), incremental.upsert_batches(target, "k", "t"), str(tmp_path / "other"))
+    run()
+    assert rows() == [("k", 2, 2), ("l", 1, 1)]
+    (tmp_path / "out" / "v=2" / "_SUCCESS").unlink()
+    assert rows() == [("k", 2, 2), ("l", 1, 1)]
 
 
 def test_files_upserts_and_evolution(spark, tmp_path):
@@ -197,10 +204,73 @@ def test_replies_and_vectors(spark):
     c = spark.createDataFrame([(1,), (2,), (3,)], "rowid long")
     v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0])], "rowid long, vector array<float>")
     assert {r["rowid"]: r["reused"] for r in ingest.reuse_vectors(c, v).collect()} == {1: False, 2: True, 3: False}
+    edited, embedded = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "rowid long, digest string"), spark.createDataFrame([(1, "a", [1.0]), (2, "b", [1.0])], "rowid long, digest string, vector array<float>")
+    assert sorted(tuple(r) for r in ingest.reuse_vectors(edited, embedded).collect()) == [(1, True), (2, False), (2, True)]
     unit = v.select(retrieval.normalised(F.col("vector")).alias("n")).collect()
     assert [r["n"] for r in unit] == [[0.0, 0.0], [0.0, 1.0]]
 
 
+def test_keyword_route_as_matrix_and_as_rows(spark, data, monkeypatch):
+    from tarnwood.plans import reference
+    from tarnwood.sources.tables import table
+
+    chunks = table(spark, data, "chunks")
+    q = table(spark, data, "documents").where("title is not null and doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "title", F.col("title").alias("query"))
+    q = q.unionByName(spark.createDataFrame([(-1, None, None), (-2, "", "the"), (-3, "", "zzzz no-such-word"), (-4, "", "film film motor")], q.schema))
+    for mode in ("OR", "AND"):
+        rows = lambda source, mode=mode: sorted(map(repr, retrieval.keyword_search(source, q, chunks.where("rowid % 2 = 0").select("rowid"), 7, mode=mode).collect()))
+        one = rows(retrieval.Index.built(chunks))
+        assert one == rows(chunks)
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "ASKED", 0)
+            assert one == rows(chunks)
+    assert reference.bm25_topk(spark, data).count() > 0
+
+
+def test_best_takes_equal_scores_by_key():
+    rng = np.random.default_rng(5)
+    score, keys = rng.integers(0, 4, (6, 200)).astype(float), rng.permutation(200)
+    score[5] = -np.inf
+    best = retrieval.Best(6, 9)
+    for i in range(0, 200, 37):
+        best.add(score[:, i : i + 37], keys[i : i + 37])
+    got = best.rows(np.arange(6))
+    for i in range(6):
+        want = sorted(zip(-score[i], keys, strict=True))[:9] if i < 5 else []
+        assert sorted(zip(-got[got["query_id"] == i]["score"], got[got["query_id"] == i]["key"], strict=True)) == want
+
+
+def test_vector_index_finds_nine_of_ten(spark, data):
+    from tarnwood.sources.tables import table
+
+    v = table(spark, data.replace("sf0.001", "sf0.1"), "embeddings").select(F.col("vec_id").alias("rowid"), F.col("embedding").alias("vector"))
+    q = v.where("rowid % 20 = 0").select(F.col("rowid").alias("query_id"), "vector")
+    index = retrieval.VectorIndex(v, cells=32)
+    assert index.held.count() == v.count()
+    pairs = lambda df: {(r["query_id"], r["rowid"]) for r in df.select("query_id", "rowid").collect()}
+    true = pairs(retrieval.vector_search(v, q, 10))
+    assert len(true & pairs(index.search(q, 10))) >= 0.9 * len(true)
+    # a hot cell is cut into shards and its queries into blocks, with equal results; all cells probed are exact
+    assert pairs(index.search(q, 10, probes=32, block=7, shard=100)) == true
+    empty = retrieval.VectorIndex(v.limit(0))
+    assert empty.search(q, 3).count() == 0
+
+
+def test_snippet(spark):
+    df = spark.createDataFrame([("one two three film, four motor film five six", ["film", "motor"]), ("nothing here", ["film"]), ("", ["x"]), (None, ["x"])], "t string, w array<string>")
+    got = [r[0] for r in df.select(tx.snippet(F.col("t"), F.col("w"), 3)).collect()]
+    assert got == ["…【film】, four 【motor】…", "nothing here", "", ""]
+    assert spark.range(1).select(tx.html_marked(F.lit("a<b 【x&y】"))).first()[0] == "a&lt;b <b>x&amp;y</b>"
+
+
+def test_two_trees_in_one_plan(spark):
+    a, b = tree.nodes(spark, "r | | 0 | R |\nx | r | 1 | X | q"), tree.nodes(spark, "r | | 0 | R |\ny | r | 1 | Y | q")
+    both = tree.preorder(a).unionByName(tree.preorder(b))
+    assert sorted(r["id"] for r in both.collect()) == ["r", "r", "x", "y"]
+    ids = spark.createDataFrame([("x",), ("y",), ("z",), ("r",)], "id string")
+    assert {r["id"]: r["domain"] for r in tree.domain_of({"a": a, "b": b}, ids).collect()} == {"x": "a", "y": "b", "z": None, "r": "a"}
+
+
 def test_labels_and_gain(spark):
     b = spark.createDataFrame([("A", 9, 0.0, 0.0), ("B", 8, 50.0, 50.0), ("C", 7, 500.0, 0.0)], "iso3 string, papers long, x double, y double")
     assert [r["iso3"] for r in geo.labels(b).orderBy(F.desc("papers")).collect()] == ["A", "C"]
