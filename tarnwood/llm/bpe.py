@@ -8,19 +8,20 @@ are merged exactly.  Words met before are looked up.
 
 Defined results: null and empty texts have the empty list of ids; strings that look like
 special tokens are ordinary text; texts of any length are encoded whole; rows are kept one to
-one; repeated rows get equal ids.  No shuffle; the vocabulary is a file of fixed size read
-once by each Python worker.
+one; repeated rows get equal ids.  No shuffle; the vocabulary is a file of fixed size that the driver hands
+to the executors; each Python worker reads it once.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,12 +120,23 @@ def encoder(name: str, folder: str) -> Encoder:
     return Encoder(os.path.join(folder, f"{name}.tiktoken"))
 
 
+def _handed(vocabulary: str, folder: str) -> Callable[[], Encoder]:
+    """The encoder in a worker: of the file as the driver's file server hands it to the executors; ``folder`` itself is
+    read there only if the driver has no such file."""
+    path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    sent = os.path.exists(path)
+    if sent:
+        SparkContext.getOrCreate().addFile(path)
+    return lambda: encoder(vocabulary, SparkFiles.getRootDirectory() if sent else folder)
+
+
 def token_ids(text: Column, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> Column:
     """array<int> of the ids of ``text``."""
+    handed = _handed(vocabulary, folder)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(vocabulary, folder)
+        e = handed()
         for texts in batches:
             yield pd.Series(e.encode([t if isinstance(t, str) else None for t in texts]), dtype=object)
 
@@ -133,10 +145,11 @@ def token_ids(text: Column, vocabulary: str = "byte_bpe_50k", folder: str = FOLD
 
 def token_count(text: Column, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> Column:
     """long: the number of ids of ``text``."""
+    handed = _handed(vocabulary, folder)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(vocabulary, folder)
+        e = handed()
         for texts in batches:
             yield pd.Series([len(i) for i in e.encode([t if isinstance(t, str) else None for t in texts])], dtype="int64")
 

@@ -363,6 +363,25 @@ def test_people(spark):
     assert [tuple(p) for p in pairs] == [("a", "b")]
 
 
+def test_near_words_by_index_and_by_joins(spark, monkeypatch):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 11))) for _ in range(300)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    rows = lambda: sorted(tuple(r) for r in variants.near_words(df).collect())
+    one = rows()
+    allowed = variants._allowed
+    assert one == sorted((a, b, edits.distance(a, b)) for a in words for b in words if a != b and edits.distance(a, b) <= min(allowed(len(a)), allowed(len(b))))
+    monkeypatch.setattr(variants, "MOST_WORDS", 0)
+    assert rows() == one
+
+
+def test_abbreviations_are_read_by_what_else_is_written(spark):
+    names = ["Velmor Film Devices", "Velmor Film Dev.", "Sulbrum Devices Corp", "Sulbrum Dev. Corp", "Ostmar Dev. Inc", "Ostmar Development Inc", "Lorlor Dev.", "Kral Mec. Works", "Development of Ostmar"]
+    got = {r["spelling"]: r["entity"] for r in variants.link_organisations(spark.createDataFrame([(n,) for n in names * 2], "institution string"), "institution").collect()}
+    assert got["Velmor Film Dev."] == got["Velmor Film Devices"] and got["Sulbrum Dev. Corp"] == got["Sulbrum Devices Corp"] and got["Ostmar Dev. Inc"] == got["Ostmar Development Inc"]
+    assert got["Lorlor Dev."].split() == sorted(["devices", "lorlor"]) and "mec" in got["Kral Mec. Works"].split()
+
+
 def test_edit_distance():
     for a, b, d in [("ab", "ba", 1), ("", "abc", 3), ("kitten", "sitting", 3), ("niger", "nigeria", 2), ("same", "same", 0), ("ca", "abc", 3)]:
         assert edits.distance(a, b) == edits.distance(b, a) == d
