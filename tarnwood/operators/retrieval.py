@@ -44,10 +44,17 @@ class Index:
         """The index as a plan over the texts, tokenised each time it is read.  ``key`` tells the rows apart."""
         # all columns as one list of terms; the empty term between two columns keeps phrases apart
         joined = F.concat(*[x for c in columns for x in (tx.terms(F.col(c)), F.array(F.lit("")))])
-        doc = chunks.select(F.col(key).alias("key"), *columns).repartition("key").select("key", joined.alias("ts")).withColumn("dl", F.size("ts") - len(columns))
+        # exploded from a list of one, the terms are computed once and not by each column that names them
+        doc = chunks.select(F.col(key).alias("key"), *columns).repartition("key").select("key", F.explode(F.array(joined)).alias("ts")).withColumn("dl", F.size("ts") - len(columns))
         terms = doc.select("key", "dl", F.posexplode("ts").alias("pos", "term")).where("term <> ''")
         postings = terms.groupBy("key", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("f"), F.collect_list("pos").alias("at"))
-        return Index(postings, doc.agg(F.count("*").cast("double").alias("docs"), F.avg("dl").alias("avgdl")))
+        return Index(postings, Index._size(postings, chunks))
+
+    @staticmethod
+    def _size(postings: DataFrame, chunks: DataFrame) -> DataFrame:
+        """Documents without terms count too."""
+        total = postings.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("terms"))
+        return total.join(chunks.agg(F.count("*").cast("double").alias("docs"))).select("docs", (F.col("terms") / F.nullif("docs", F.lit(0.0))).alias("avgdl"))
 
     @staticmethod
     def built(chunks: DataFrame, key: str = "rowid", columns: Sequence[str] = ("text", "title")) -> Index:
@@ -56,8 +63,8 @@ class Index:
         The texts are shuffled once, by key; a frequent term is spread over all files.  Files are sorted by term,
         so a search for few terms reads the row groups of these only."""
         spark, name = chunks.sparkSession, f"terms-{key}-{'-'.join(columns)}"
-        plan = Index.over(chunks, key, columns)
-        return Index(kept(spark, name, chunks, lambda: plan.postings.sortWithinPartitions("term")), kept(spark, name + "-size", chunks, lambda: plan.size))
+        postings = kept(spark, name, chunks, lambda: Index.over(chunks, key, columns).postings.sortWithinPartitions("term"))
+        return Index(postings, kept(spark, name + "-size", chunks, lambda: Index._size(postings, chunks)))
 
 
 #: Rows of (query, phrase) up to which questions are scored together as one matrix, and terms up to which a scan is asked for them by name.
