@@ -673,7 +673,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if _PLAIN.fullmatch(w):
                 words[w] += n
         counts.clear()
-        return pd.DataFrame({"word": [*words], "n": [*words.values()]})
+        return pd.DataFrame([*words.items()], columns=["word", "n"])
 
     for batch in batches:
         for t in batch["text"]:
