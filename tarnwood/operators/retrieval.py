@@ -9,9 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tarnwood.functions import text as tx
@@ -67,8 +70,10 @@ class Index:
         return Index(postings, kept(spark, name + "-size", chunks, lambda: Index._size(postings, chunks)))
 
 
-#: Rows of (query, phrase) up to which questions are scored together as one matrix, and terms up to which a scan is asked for them by name.
-ASKED, NAMED = 50_000, 1_000
+#: Terms of all different questions up to which these are scored together by numbers, and terms up to which the texts are cut to them before they are handed to Python.
+ASKED, NAMED = 1_000_000, 1_000
+#: Questions and terms of one matrix of weights, and the rows it is multiplied with at once.
+TILE, WIDE, ROWS = 1024, 256, 4096
 
 
 def _matches(postings: DataFrame, phrases: DataFrame, hint=lambda df: df) -> DataFrame:
@@ -130,50 +135,141 @@ class Best:
         return pd.DataFrame({id_: np.repeat(ids, real.sum(1)), "key": self.key[real], "score": self.score[real]})
 
 
-def _scored_together(index: Index, asked: list, types: T.StructType, key: str, scope: DataFrame | None, k: int, k1: float, b: float, mode: str) -> DataFrame:
-    """Best ``k`` of (query_id, phrase, times, ts) rows: documents x phrases times phrases x questions.
-
-    Each document's matches become one row, from which every question is scored at once; a task keeps the best
-    ``k`` of each question, so no pair of a question and a document is ever a row or is shuffled."""
-    spark = index.postings.sparkSession
-    phrases = sorted({r["phrase"]: r["ts"] for r in asked}.items())
-    at = {p: i for i, (p, _) in enumerate(phrases)}
-    named = sorted({t for _, ts in phrases for t in ts})
-    postings = index.postings.where(F.col("term").isin(named)) if len(named) <= NAMED else index.postings
-    matches = _matches(postings, spark.createDataFrame([(at[p], ts) for p, ts in phrases], "phrase int, ts array<string>"), F.broadcast)
-    # read for the frequencies and for the scores
-    docs = cut(matches.groupBy("key").agg(F.first("dl").alias("dl"), F.collect_list("phrase").alias("phrase"), F.collect_list("f").alias("f")), spark)
-    frequency = dict(docs.select(F.explode("phrase").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect())
-    size = index.size.first()
-    ids = sorted({r["query_id"] for r in asked})
-    column = {q: j for j, q in enumerate(ids)}
-    weight, needed = np.zeros((len(phrases), len(ids)), dtype=np.float64), np.zeros(len(ids))
-    for r in asked:
-        n = frequency.get(at[r["phrase"]], 0)
-        weight[at[r["phrase"]], column[r["query_id"]]] = r["times"] * max(math.log(_rarity(size["docs"], n)), 1e-6) if n else 0.0
-        needed[column[r["query_id"]]] += 1
-    shared = spark.sparkContext.broadcast((weight, needed, np.array(ids, dtype=object)))
-    mean, step = size["avgdl"] or 1.0, max(16, 4_000_000 // max(1, len(phrases)))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight, needed, ids = shared.value
-        best = Best(len(ids), k)
+def _held(chunks: DataFrame, key: str, columns: Sequence[str], forms: Sequence[str]) -> DataFrame:
+    """(key, dl, form, f) of every text: the places of the ``forms`` (terms joined by blanks) that it holds and how
+    often, counted in one pass over the texts; nothing is shuffled."""
+    named = sorted({t for x in forms for t in x.split()})
+    joined = F.concat(*[x for c in columns for x in (tx.terms(F.col(c)), F.array(F.lit("")))])
+    doc = chunks.select(F.col(key).alias("key"), F.explode(F.array(joined)).alias("ts")).withColumn("dl", F.size("ts") - len(columns))
+    at = F.sequence(F.lit(0), F.size("ts") - 1)
+    doc = doc.withColumn("at", F.filter(at, lambda i: F.get("ts", i).isin(named)) if len(named) <= NAMED else at)
+    doc = doc.select("key", "dl", "at", F.transform("at", lambda i: F.get("ts", i)).alias("term"))
+    place = {t: i for i, t in enumerate(named)}
+    split = [[place[t] for t in x.split()] for x in forms]
+    shared = chunks.sparkSession.sparkContext.broadcast((named, split))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named, split = shared.value
+        values = pa.array(named, pa.string())
+        single = np.full(len(named) + 1, -1)
+        for i, x in enumerate(split):
+            if len(x) == 1:
+                single[x[0]] = i
+        several = [(i, x) for i, x in enumerate(split) if len(x) > 1]
         for batch in batches:
-            for i in range(0, len(batch), step):
-                part = batch.iloc[i : i + step]
-                row = np.repeat(np.arange(len(part)), part["phrase"].map(len))
-                col, f, dl = np.concatenate(part["phrase"].to_numpy()), np.concatenate(part["f"].to_numpy()), part["dl"].to_numpy()[row]
-                found = np.zeros((len(part), len(weight)))
-                found[row, col] = f * (k1 + 1) / (f + k1 * (1 - b + b * dl / mean))
-                met = (found > 0).astype(float) @ (weight > 0)
-                hit = met >= needed if mode == "AND" else met > 0
-                best.add(np.where(hit, np.round(found @ weight, 6), -np.inf).T, part["key"].to_numpy())
-        yield best.rows(ids)
+            term = pc.fill_null(pc.index_in(batch["term"].flatten(), value_set=values), len(named)).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch["term"]).to_numpy())
+            form = single[term]
+            rows, found = [row[form >= 0]], [form[form >= 0]]
+            if several and len(term):
+                at = batch["at"].flatten().to_numpy().astype(np.int64)
+                wide = int(at.max()) + max(len(x) for _, x in several) + 1
+                place = row * wide + at
+                order = np.argsort(term, kind="stable")
+                begin = np.searchsorted(term[order], np.arange(len(named) + 1))
+                of = lambda t: place[order[begin[t] : begin[t + 1]]]
+                for i, x in several:  # a form of several terms is there where these stand side by side
+                    start = of(x[0])
+                    for k, t in enumerate(x[1:], 1):
+                        start = start[np.isin(start + k, of(t), assume_unique=True)] if len(start) else start
+                    rows.append(start // wide)
+                    found.append(np.full(len(start), i))
+            pair, f = np.unique(np.concatenate(rows) * max(1, len(split)) + np.concatenate(found), return_counts=True)
+            ends = np.searchsorted(pair, np.arange(len(batch) + 1) * max(1, len(split))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (pair % max(1, len(split)), f)]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["dl"], *lists], ["key", "dl", "form", "f"])
+
+    schema = T.StructType([doc.schema["key"], doc.schema["dl"], T.StructField("form", T.ArrayType(T.IntegerType())), T.StructField("f", T.ArrayType(T.IntegerType()))])
+    return doc.mapInArrow(count, schema)
+
+
+class Leaders:
+    """The best ``k`` of each of ``questions`` questions, fed with hits; equal scores by key."""
 
-    if scope is not None:
-        docs = docs.join(scope.withColumnRenamed(key, "key"), "key", "left_semi")
-    schema = T.StructType([types["query_id"], T.StructField("key", docs.schema["key"].dataType), T.StructField("score", T.DoubleType())])
-    return docs.mapInPandas(score, schema).withColumnRenamed("key", key)
+    def __init__(self, questions: int, k: int):
+        self.k, self.least, self.last = k, np.full(questions, -np.inf), np.empty(questions, dtype=object)
+        self.question, self.score, self.key = np.empty(0, dtype=np.int64), np.empty(0), None
+
+    def add(self, question: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        take = score > self.least[question]
+        tied = np.flatnonzero(score == self.least[question])
+        take[tied] = key[tied] < self.last[question[tied]]
+        if not take.any():
+            return
+        question, score = np.concatenate([self.question, question[take]]), np.concatenate([self.score, score[take]])
+        key = key[take] if self.key is None else np.concatenate([self.key, key[take]])
+        order = np.lexsort((key, -score, question))
+        question = question[order]
+        place = np.arange(len(order)) - np.searchsorted(question, question)
+        full = order[place == self.k - 1]
+        kept = order[place < self.k]
+        self.least[question[place == self.k - 1]], self.last[question[place == self.k - 1]] = score[full], key[full]
+        self.question, self.score, self.key = question[place < self.k], score[kept], key[kept]
+
+
+def _tiles(bags: Sequence[Sequence[int]]) -> list[list[int]]:
+    """Numbers of the questions, those of like forms together: at most ``TILE`` of them with ``WIDE`` forms, or one alone."""
+    out: list[list[int]] = []
+    held: set[int] = set()
+    for i in sorted(range(len(bags)), key=lambda i: bags[i]):
+        if not out or len(out[-1]) == TILE or len(held.union(bags[i])) > WIDE:
+            out.append([])
+            held = set()
+        out[-1].append(i)
+        held.update(bags[i])
+    return out
+
+
+def _best_of(docs: DataFrame, frequency: dict[int, int], size: tuple[float, float], bags: list, forms: dict[str, int], k: int, k1: float, b: float, mode: str) -> DataFrame:
+    """(number, key, score): best ``k`` of each task for each of the ``bags`` (forms, times) by its number.
+
+    Rows of ``docs`` times weights of questions are multiplied in single precision, a tile of both at a time; what may
+    be among the best is scored again in double precision.  No pair of a question and a document is ever a row."""
+    spark, (count, mean) = docs.sparkSession, size
+    rarity = np.array([max(math.log(_rarity(count, n)), 1e-6) if n else 0.0 for n in (frequency.get(i, 0) for i in range(len(forms)))])
+    own = [[forms[x] for x in r["forms"]] for r in bags]
+    shared = spark.sparkContext.broadcast([(np.array(tile), np.repeat(np.arange(len(tile)), [len(own[i]) for i in tile]), np.array([x for i in tile for x in own[i]], dtype=np.int64), np.array([t for i in tile for t in bags[i]["times"]], dtype=float)) for tile in _tiles(own)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = []
+        for numbers, column, form, times in shared.value:
+            used, line = np.unique(form, return_inverse=True)
+            weight = np.zeros((len(used), len(numbers)))
+            weight[line, column] = times * rarity[form]
+            tiles.append((numbers, used, weight.astype(np.float32), weight, np.bincount(column, minlength=len(numbers)), Leaders(len(numbers), k)))
+        here, rows = np.full(len(rarity), -1), 64
+        for batch in batches:
+            i = 0
+            while i < len(batch):
+                part = batch.slice(i, rows)
+                i, rows = i + rows, min(2 * rows, ROWS)
+                row = np.repeat(np.arange(len(part)), pc.list_value_length(part["form"]).to_numpy())
+                col, f = part["form"].flatten().to_numpy(), part["f"].flatten().to_numpy().astype(float)
+                value = f * (k1 + 1) / (f + k1 * (1 - b + b * part["dl"].to_numpy()[row] / mean))
+                key = part["key"].to_numpy(zero_copy_only=False)
+                for _, used, coarse, weight, needed, best in tiles:
+                    here[used] = np.arange(len(used))
+                    mine = here[col] >= 0
+                    found = np.zeros((len(part), len(used)))
+                    found[row[mine], here[col[mine]]] = value[mine]
+                    here[used] = -1
+                    about = found.astype(np.float32) @ coarse
+                    # a sum of n positive parts errs by less than n * 2e-7 of it in single precision, rounding by 5e-7
+                    maybe = about > np.maximum(best.least * (1 - 1e-5 - 2e-7 * len(used)) - 1e-6, 0).astype(np.float32)
+                    if mode == "AND":
+                        maybe &= (found > 0).astype(np.float32) @ (coarse > 0).astype(np.float32) >= needed
+                    r, q = np.nonzero(maybe)
+                    for j in range(0, len(r), 65_536):
+                        x, y = r[j : j + 65_536], q[j : j + 65_536]
+                        best.add(y, np.round(np.einsum("ij,ji->i", found[x], weight[:, y]), 6), key[x])
+        for numbers, *_, best in tiles:
+            if best.key is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[best.question], pa.int64()), pa.array(best.key, types["key"]), pa.array(best.score)], ["number", "key", "score"])
+
+    schema = T.StructType([T.StructField("number", T.LongType()), docs.schema["key"], T.StructField("score", T.DoubleType())])
+    types = {"key": to_arrow_type(docs.schema["key"].dataType)}
+    # each task gives the best of every question, so there are few tasks
+    return docs.where(F.size("form") > 0).coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(score, schema)
 
 
 def top_k(scores: DataFrame, k: int, key: str = "rowid", per: str = "query_id") -> DataFrame:
@@ -183,17 +279,39 @@ def top_k(scores: DataFrame, k: int, key: str = "rowid", per: str = "query_id")
 
 
 def keyword_search(chunks: DataFrame | Index, queries: DataFrame, scope: DataFrame | None = None, k: int = K_ROUTE, key: str = "rowid", columns: Sequence[str] = ("text", "title"), k1: float = 1.2, b: float = 0.75, mode: str = "OR") -> DataFrame:
-    """Keyword route: best ``k`` chunks of each query among those in ``scope`` (key).
-
-    Up to ``ASKED`` phrases of all questions are scored together; more are scored as rows, with equal results."""
-    index = chunks if isinstance(chunks, Index) else Index.over(chunks, key, columns)
-    asked = query_phrases(queries).withColumn("ts", tx.terms(F.col("phrase")))
-    rows = asked.limit(ASKED + 1).collect()
-    if len(rows) <= ASKED and len({r["phrase"] for r in rows}) * len({r["query_id"] for r in rows}) <= 200 * ASKED:
-        return top_k(_scored_together(index, rows, asked.schema, key, scope, k, k1, b, mode), k, key)
-    scores = keyword_scores(index, queries, key, columns, k1, b, mode)
-    scores = scores.join(scope, key, "left_semi") if scope is not None else scores
-    return top_k(scores.select("query_id", key, "score"), k, key)
+    """Keyword route: best ``k`` chunks of each query among those in ``scope`` (key); written, as routes are read again.
+
+    Equal questions are scored once.  Up to ``ASKED`` terms of different questions are scored together, over the
+    texts in one pass or over an index; more are scored as rows, with equal results."""
+    spark = queries.sparkSession
+    asked = query_phrases(queries).groupBy("query_id", F.array_join(tx.terms(F.col("phrase")), " ").alias("form")).agg(F.sum("times").alias("times"))
+    bag = F.sort_array(F.collect_list(F.struct("form", "times")))
+    asked = cut(asked.groupBy("query_id").agg(bag.alias("bag")).select("query_id", F.col("bag.form").alias("forms"), F.col("bag.times").alias("times")), spark)
+    bags = asked.select("forms", "times").distinct()
+    if bags.agg(F.coalesce(F.sum(F.size("forms")), F.lit(0))).first()[0] > ASKED:
+        index = chunks if isinstance(chunks, Index) else Index.over(chunks, key, columns)
+        scores = keyword_scores(index, queries, key, columns, k1, b, mode)
+        scores = scores.join(scope, key, "left_semi") if scope is not None else scores
+        return cut(top_k(scores.select("query_id", key, "score"), k, key), spark)
+    bags = bags.collect()
+    forms = {x: i for i, x in enumerate(sorted({x for r in bags for x in r["forms"]}))}
+    if isinstance(chunks, Index):
+        named = sorted({t for x in forms for t in x.split()})
+        postings = chunks.postings.where(F.col("term").isin(named)) if len(named) <= NAMED else chunks.postings
+        matches = _matches(postings, spark.createDataFrame([(i, x.split()) for x, i in forms.items()], "phrase int, ts array<string>"), F.broadcast)
+        docs, size = matches.groupBy("key").agg(F.first("dl").alias("dl"), F.collect_list("phrase").alias("form"), F.collect_list(F.col("f").cast("int")).alias("f")), chunks.size
+    else:
+        docs, size = _held(chunks, key, columns, list(forms)), None
+    # read for the frequencies and for the scores
+    docs = cut(docs, spark)
+    frequency = dict(docs.select(F.explode("form").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect())
+    size = docs.agg(F.count("*").cast("double").alias("docs"), F.avg("dl").alias("avgdl")).first() if size is None else size.first()
+    if scope is not None:
+        docs = docs.join(scope.withColumnRenamed(key, "key"), "key", "left_semi")
+    best = top_k(_best_of(docs, frequency, (size["docs"], size["avgdl"] or 1.0), bags, forms, k, k1, b, mode), k, "key", "number")
+    numbers = spark.createDataFrame([(i, r["forms"], r["times"]) for i, r in enumerate(bags)], "number long, forms array<string>, times array<long>")
+    hits = best.join(asked.join(F.broadcast(numbers), ["forms", "times"]).select("query_id", "number"), "number")
+    return cut(hits.select("query_id", F.col("key").alias(key), "score", "rank"), spark)
 
 
 def normalised(vector: Column) -> Column:
