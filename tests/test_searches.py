@@ -8,7 +8,7 @@ from tarnwood.operators import retrieval
 from tarnwood.plans import registry
 from tests.oracle import same
 
-NAMES = """bm25_topk beginner_path""".split()
+NAMES = """bm25_topk beginner_path build_context""".split()
 
 
 def refused(*_, **__):
