@@ -9,7 +9,7 @@ from tarnwood.plans import registry
 from tests.oracle import same
 
 NAMES = """bm25_topk beginner_path build_context learn_overlap presented_path scoped_tiered_search bm25_all_words cited_works hybrid_search
-legacy_search eval_nomination rrf_fusion weight_sweep mode_compare hybrid_gain retrieval_metrics""".split()
+legacy_search eval_nomination rrf_fusion weight_sweep mode_compare hybrid_gain retrieval_metrics hydrated_hits""".split()
 
 
 def refused(*_, **__):
