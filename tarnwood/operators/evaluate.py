@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,21 +15,46 @@ from tarnwood.operators import retrieval
 SWEEP = ((1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 2.0), (2.0, 1.0), (1.0, 3.0), (3.0, 1.0))
 
 
+@dataclass(frozen=True)
+class Gold:
+    """Gold sets that questions share: (query_id, topic) of the questions and (topic, file) of the papers right for a topic.
+
+    Measured as they are: their pairs of a question and a paper grow as questions x papers.  A paper is right for one topic
+    of a question at most."""
+
+    asked: DataFrame
+    right: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(query_id, file)."""
+        return self.asked.join(self.right, "topic").select("query_id", "file")
+
+    def sizes(self) -> DataFrame:
+        """(query_id, gold): how many papers are right."""
+        n = self.right.distinct().groupBy("topic").agg(F.count("*").alias("n"))
+        return self.asked.distinct().join(n, "topic").groupBy("query_id").agg(F.sum("n").alias("gold"))
+
+    def met(self, papers: DataFrame) -> DataFrame:
+        """The rows of ``papers`` (query_id, file, …) that are right."""
+        return papers.join(self.asked.distinct(), "query_id").join(self.right, ["topic", "file"], "left_semi").drop("topic")
+
+
 def to_papers(ranked: DataFrame, chunks: DataFrame, by: tuple[str, ...] = ("query_id",), place: str = "place") -> DataFrame:
     """(by…, file, rank): the distinct papers of ranked chunks, each at its first chunk."""
     first = ranked.join(chunks.select("rowid", "file"), "rowid").groupBy(*by, "file").agg(F.min(place).alias("at"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).drop("at")
 
 
-def measures(papers: DataFrame, gold: DataFrame, k: int = 8, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """(by…, recall, mrr, ndcg) of every question with a gold set, over the first ``k`` papers.
+def measures(papers: DataFrame, gold: DataFrame | Gold, k: int = 8, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(by…, recall, mrr, ndcg) of every question with a gold set, over the first ``k`` papers; ``gold`` is (query_id, file) or shared.
 
     ``by`` begins with query_id; further columns (a mode, a weight) split the runs."""
-    size = gold.select("query_id", "file").distinct().groupBy("query_id").agg(F.count("*").alias("gold"))
+    size = gold.sizes() if isinstance(gold, Gold) else gold.select("query_id", "file").distinct().groupBy("query_id").agg(F.count("*").alias("gold"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("gold", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     runs = papers.select(*by[1:]).distinct() if len(by) > 1 else None
     asked = size.join(runs) if runs is not None else size  # a row for each run is a handful
-    hits = papers.where(F.col("rank") <= k).join(gold.select("query_id", "file").distinct(), ["query_id", "file"], "left_semi")
+    hits = papers.where(F.col("rank") <= k)
+    hits = gold.met(hits) if isinstance(gold, Gold) else hits.join(gold.select("query_id", "file").distinct(), ["query_id", "file"], "left_semi")
     g = hits.groupBy(*by).agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     m = asked.join(g, list(by), "left")
     return m.select(
@@ -37,7 +63,7 @@ def measures(papers: DataFrame, gold: DataFrame, k: int = 8, by: tuple[str, ...]
     )
 
 
-def sweep(keyword: DataFrame, vector: DataFrame, chunks: DataFrame, gold: DataFrame, weights: Sequence[tuple[float, float]] = SWEEP, depth: int = 32) -> DataFrame:
+def sweep(keyword: DataFrame, vector: DataFrame, chunks: DataFrame, gold: DataFrame | Gold, weights: Sequence[tuple[float, float]] = SWEEP, depth: int = 32) -> DataFrame:
     """(run, recall, mrr, ndcg, best): the fused routes under each pair of weights; the first of the runs of the highest nDCG is the best."""
     runs = keyword.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(weights)], "run int, wk double, wv double")
     each = retrieval.routed(keyword, vector).drop("weight").join(F.broadcast(runs)).withColumn("weight", F.when(F.col("route") == "keyword", F.col("wk")).otherwise(F.col("wv")))

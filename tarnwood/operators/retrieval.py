@@ -314,6 +314,17 @@ def keyword_search(chunks: DataFrame | Index, queries: DataFrame, scope: DataFra
     return cut(hits.select("query_id", F.col("key").alias(key), "score", "rank"), spark)
 
 
+#: Different keys up to which a table is cut to them where it lies.
+FEW = 1_000_000
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str = "rowid") -> DataFrame:
+    """``rows`` of the ``keys``, for a join with them; up to ``FEW`` are broadcast, so that only rows asked for are shuffled,
+    with more of them ``rows`` is left whole.  ``keys`` are counted, so they should be written."""
+    keys = keys.select(key).distinct()
+    return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() <= FEW else rows
+
+
 def normalised(vector: Column) -> Column:
     """Vector divided by its length, which counts as 1e-12 at least."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

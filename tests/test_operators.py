@@ -289,3 +289,12 @@ def test_empty_tables(spark, data):
     assert corpus.stats(own, chunks, None).first()["papers"] == 0
     for df in (corpus.authors(own), corpus.institutions(own, geo_), corpus.countries(own, geo_), corpus.timeline(own), corpus.paper(own, chunks), points.metric_stats(bench), retrieval.keyword_search(chunks, q), retrieval.search(chunks, own, v, q), ingest.first_chunks(chunks), ingest.candidate_segments(chunks, own)):
         assert df.count() == 0
+
+
+def test_gold_of_topics_is_the_gold_of_its_pairs(spark):
+    asked = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "none"), (4, "a"), (5, "b"), (5, "a")], "query_id long, topic string")
+    right = spark.createDataFrame([("a", "f1"), ("a", "f2"), ("a", "f2"), ("b", "f3"), ("b", None), ("c", "f4")], "topic string, file string")
+    ranked = spark.createDataFrame([(q, f"f{i}", i, mode) for q in range(1, 7) for i in range(1, 5) for mode in "xy" if (q + i) % 3 or mode == "x"], "query_id long, file string, rank int, mode string")
+    gold, by = evaluate.Gold(asked, right), ("query_id", "mode")
+    found = lambda g: sorted(map(repr, evaluate.measures(ranked, g, k=3, by=by).collect()))
+    assert len(found(gold)) == 8 and found(gold) == found(gold.pairs())

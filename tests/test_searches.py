@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwood.operators import retrieval
+from tarnwood.operators import evaluate, retrieval
 from tarnwood.plans import registry
 from tests.oracle import same
 
@@ -62,3 +62,9 @@ def test_leaders_take_equal_scores_by_key(kind):
     for i in range(6):
         want = sorted((-s, key) for s, key in zip(score[i], keys, strict=True) if s > 1)[:9]
         assert [(-s, key) for s, key in zip(best.score[best.question == i], best.key[best.question == i], strict=True)] == want
+
+
+@pytest.mark.parametrize("name", ["retrieval_metrics"])
+def test_gold_makes_no_pairs(spark, data, monkeypatch, name):
+    monkeypatch.setattr(evaluate.Gold, "pairs", refused)
+    same(spark, registry.QUERIES[name], registry.SQL[name], data)
