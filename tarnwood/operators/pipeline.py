@@ -180,11 +180,11 @@ def guarded_search(chunks: DataFrame, papers: DataFrame, vectors: DataFrame, que
 
 def hydrated(hits: DataFrame, chunks: DataFrame, papers: DataFrame, queries: DataFrame) -> DataFrame:
     """``hits`` (query_id, rowid, …) as they are shown: what the chunk and its paper hold, missing fields with their
-    defaults, and the preview around the words of the question."""
+    defaults, and the preview around the words of the question.  Only texts of hits are shuffled, so ``hits`` should be written."""
     or_ = lambda c, d="": F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(d)).alias(c)
     fields = ["authors", "venue", "doi", "tier", "category", "paper_id", "index_status", "corresponding_author", "abstract_data", "innovation", "abstract_source", "evaluation"]
     meta = papers.select("file", or_("title", "(untitled)"), "year", "cited", F.coalesce("cross_topic", F.lit(0)).alias("cross_topic"), *[or_(f) for f in fields])
-    rows = hits.join(chunks.select("rowid", "file", or_("page"), F.coalesce("text", F.lit("")).alias("text")), "rowid").join(meta, "file").join(queries.select("query_id", "query"), "query_id")
+    rows = hits.join(retrieval.among(chunks, hits).select("rowid", "file", or_("page"), F.coalesce("text", F.lit("")).alias("text")), "rowid").join(meta, "file").join(queries.select("query_id", "query"), "query_id")
     return rows.withColumn("preview", tx.preview(F.col("text"), tx.query_tokens(F.col("query")))).drop("query")
 
 

@@ -1,5 +1,7 @@
 """Searches with many questions over many texts: one pass over the texts, no index written, no row for a question and a text."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,20 @@ def test_leaders_take_equal_scores_by_key(kind):
 def test_gold_makes_no_pairs(spark, data, monkeypatch, name):
     monkeypatch.setattr(evaluate.Gold, "pairs", refused)
     same(spark, registry.QUERIES[name], registry.SQL[name], data)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["hydrated_hits"])
+def test_chunks_are_cut_to_the_hits_where_they_lie(spark, data, monkeypatch, name):
+    monkeypatch.setattr(retrieval, "keyword_scores", refused)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert re.search(r"BroadcastHashJoin \[rowid#\d+L?\], \[rowid#\d+L?\], LeftSemi, BuildRight", _plan(registry.QUERIES[name](spark, data)))
+        monkeypatch.setattr(retrieval, "FEW", 0)  # more hits than may be broadcast
+        assert "LeftSemi, BuildRight" not in _plan(registry.QUERIES[name](spark, data))
+        same(spark, registry.QUERIES[name], registry.SQL[name], data)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
