@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwood.session import cut
+
 # The tree in its order, "id | parent | level | label | query words" a line.
 NODES = """
 fm_root | | 0 | Electrostatic Film Motor |
@@ -93,6 +95,7 @@ def is_beginner(question: Column) -> Column:
 
 def presented(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     """(query_id, id, number): every node for every question, with its place on the path, null where it stands aside."""
+    chosen = cut(chosen, tree.sparkSession)  # read twice
     asked = chosen.select("query_id").distinct().withColumn("id", F.explode(F.array(*[F.lit(r["id"]) for r in tree.select("id").collect()])))
     return asked.join(chosen.select("query_id", "id", F.col("place").alias("number")), ["query_id", "id"], "left")
 

@@ -87,3 +87,7 @@ def test_chunks_are_cut_to_the_hits_where_they_lie(spark, data, monkeypatch, nam
         same(spark, registry.QUERIES[name], registry.SQL[name], data)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_presented_path_is_found_once(spark, data):
+    assert "FileScan" not in _plan(registry.QUERIES["presented_path"](spark, data))
